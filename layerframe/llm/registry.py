@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import codec, mixing, quality_rules, token_file
 
 QUERIES = {
+    "op1_token_files": token_file.query,
     "op2_mix_sources": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op9_bpe_codec": codec.query,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
