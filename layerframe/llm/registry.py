@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import codec, mixing, quality_rules, token_file
+from . import codec, line_dedup, mixing, quality_rules, token_file, url_filter
 
 QUERIES = {
     "op1_token_files": token_file.query,
     "op2_mix_sources": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_bpe_codec": codec.query,
+    "op10_url_filter": url_filter.query,
 }
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
 }
