@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import codec, line_dedup, mixing, quality_rules, token_file, url_filter
+from . import codec, line_dedup, mixing, ngram_join, quality_rules, token_file, url_filter
 
 QUERIES = {
     "op1_token_files": token_file.query,
     "op2_mix_sources": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op5_ngram_join": ngram_join.query,
     "op8_line_dedup": line_dedup.query,
     "op9_bpe_codec": codec.query,
     "op10_url_filter": url_filter.query,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op5_ngram_join": ngram_join.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
