@@ -77,7 +77,8 @@ def floor_join(probe: DataFrame, points: DataFrame, keys: list[str], at: str, po
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_at", "_side", "_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_found", F.last("_f", ignorenulls=True).over(inside)).where("_side = 1")
-    bins = both.groupBy(*keys, "_bin").agg(F.max_by("_f", F.struct("_at", "_f")).alias("_l"), F.min_by("_f", F.struct("_at", "_f")).alias("_s"))
+    place = F.when(F.col("_side") == 0, F.struct("_at", "_f"))  # null, so left out, for probes
+    bins = both.groupBy(*keys, "_bin").agg(F.max_by("_f", place).alias("_l"), F.min_by("_f", place).alias("_s"))
     carried = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = bins.select(*keys, "_bin", F.last("_l", ignorenulls=True).over(carried).alias("_before"), F.first("_s", ignorenulls=True).over(whole).alias("_first"))
