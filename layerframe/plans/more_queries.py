@@ -149,7 +149,7 @@ def blob_digest(spark, sf):
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE length(text) > 0")
-def zfile_roundtrip(spark, sf):
+def block_file_roundtrip(spark, sf):
     d = fx.table(spark, sf, "documents").selectExpr("doc_id AS file_id", "cast(text AS binary) AS data")
     packed = blocks.compress(blocks.split_blocks(d))
     back = blocks.join_blocks(blocks.decompress(packed).where("ok").select("file_id", "block_id", "data"))

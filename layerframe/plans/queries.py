@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerframe.operators import layers, overlay
+from layerframe.operators import layers, overlay, points
 
 from . import fixtures as fx
 
@@ -193,4 +193,14 @@ def sparse_mappings(spark, sf):
     return layers.sparse_mappings(flat(spark, sf).where("NOT zeroed").select("dev", "lo", "hi"))
 
 
+POINTS = """p AS (SELECT DISTINCT event_id % (SELECT count(*) FROM supplier) + 1 AS dev, (event_id * 7919) % 4200 AS sector FROM events)"""
+
+
+@query(f"""{FLAT}, {POINTS} SELECT p.dev, sector, moff + CASE WHEN zeroed THEN 0 ELSE sector - lo END AS moff, zeroed, layer FROM p JOIN flat f ON p.dev = f.dev AND lo <= sector AND sector < hi""")
+def point_lookup(spark, sf):
+    n = fx.table(spark, sf, "supplier").agg(F.count("*").alias("n"))
+    probes = fx.table(spark, sf, "events").join(F.broadcast(n)).selectExpr("event_id % n + 1 AS dev", "(event_id * 7919) % 4200 AS sector").distinct()  # one row
+    return points.lookup_points(flat(spark, sf), probes)
+
+
 from . import more_queries  # noqa: E402, F401  the rest registers itself

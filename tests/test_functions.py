@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from layerframe.functions import checksums, codecs
 from layerframe.functions import scalars as sc
 from layerframe.operators import blocks, cache, trace, tree
-from layerframe.sources import config, layer_blob, qcow2, tar, zfile
+from layerframe.sources import block_file, config, layer_blob, qcow2, tar
 
 
 def one(spark, *cols):
@@ -55,19 +55,19 @@ def test_crc_and_blocks(spark):
 @pytest.mark.parametrize("algo", ["lz4", "zstd"])
 @pytest.mark.parametrize("verify", [False, True])
 @pytest.mark.parametrize("size", [4096, 65536])
-def test_zfile(algo, verify, size):
+def test_block_file(algo, verify, size):
     raw = random.Random(9).randbytes(50_000) + b"q" * 100_001
-    data = zfile.compress(raw, algo, size, verify)
-    f = zfile.Reader(data)
+    data = block_file.compress(raw, algo, size, verify)
+    f = block_file.Reader(data)
     rng = random.Random(1)
     for _ in range(50):
         o, n = rng.randrange(len(raw)), rng.randrange(20_000)
         assert f.read(o, n) == raw[o : o + n]
-    assert zfile.status(data) == 1 and zfile.status(b"x" * 600) == 0
-    assert zfile.status(data[:400] + b"\1\2\3\4" + data[404:]) == -1
+    assert block_file.status(data) == 1 and block_file.status(b"x" * 600) == 0
+    assert block_file.status(data[:400] + b"\1\2\3\4" + data[404:]) == -1
     if verify:
         assert f.validate() == []
-        bad = zfile.Reader(data[:8192] + bytes(512) + data[8704:])
+        bad = block_file.Reader(data[:8192] + bytes(512) + data[8704:])
         assert bad.validate()
 
 

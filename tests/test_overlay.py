@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from layerframe.operators import layers, overlay
+from layerframe.operators import layers, overlay, points
 
 KIND = "dev long, layer int, write_seq long, lo long, hi long, moff long, zeroed boolean"
 
@@ -126,3 +126,12 @@ def test_provenance_and_image(spark):
     blocks = spark.createDataFrame([(1, 1, 8, b"ab")], "dev long, layer int, sector long, data binary")
     got = layers.read_image(idx, spark.createDataFrame([(1, 1, 0, 3)], "dev long, req_id long, lo long, hi long"), blocks).first()["data"]
     assert bytes(got) == b"ab" + bytes(3 * 512 - 2)
+
+
+@pytest.mark.parametrize("most", [10**6, 2])
+def test_points(spark, most):
+    idx = table(spark, [seg(1, 0, 0, 5, 5, 100), seg(1, 0, 0, 10, 10, 50, True), seg(3, 1, 0, 0, 200, 7)])
+    probes = spark.createDataFrame([(1, 4), (1, 5), (1, 9), (1, 10), (1, 19), (1, 20), (2, 5), (3, 0), (3, 199), (3, 200), (None, 1), (3, 10**9)], "dev long, sector long")
+    got = sorted((r["dev"], r["sector"], r["moff"]) for r in points.lookup_points(idx, probes, most).collect())
+    assert got == [(1, 5, 100), (1, 9, 104), (1, 10, 50), (1, 19, 50), (3, 0, 7), (3, 199, 206)]
+    assert points.lookup_points(idx.limit(0), probes, most).count() == 0
