@@ -46,7 +46,7 @@ def mix(df: DataFrame, size: str, source: str = "source", key: str = "doc_id", t
     """df (with a long size column) plus source_size, target and repeats (int, 0 to max_epochs).
 
     `key` names a row for the seeded order; equal keys are told apart by the `tie` columns and else taken in any order
-    (they are then equal rows). Extra columns pass through; df must not have columns that start with _mix_.
+    (they are then equal rows). Extra columns pass through; those named as a result are replaced; names that start with _mix_ are reserved.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
@@ -73,7 +73,7 @@ def mix(df: DataFrame, size: str, source: str = "source", key: str = "doc_id", t
     )
     plan = scratch.save(
         plan.join(edge, F.col("_mix_s").eqNullSafe(F.col("_s")), "left")
-        .select("_mix_s", "source_size", "target", "_mix_whole", "_mix_extra", "_mix_edge", "_mix_lo")
+        .select("_mix_s", F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), "_mix_whole", "_mix_extra", "_mix_edge", "_mix_lo")
     )
     small = plan.count() <= 20_000  # a checked bound: beyond it, the join shuffles and AQE splits hot sources
     side = F.broadcast(plan) if small else plan
@@ -89,8 +89,9 @@ def mix(df: DataFrame, size: str, source: str = "source", key: str = "doc_id", t
     before = F.coalesce(F.col("_mix_b") < F.col("_mix_edge"), F.lit(False))
     outside = joined.where(~at_edge).withColumn("_mix_more", before)
     return (
-        outside.unionByName(inside).withColumn("repeats", F.col("_mix_whole") + F.col("_mix_more").cast("int"))
-        .drop("_mix_h", "_mix_b", "_mix_s", "_mix_whole", "_mix_extra", "_mix_edge", "_mix_lo", "_mix_more")
+        outside.unionByName(inside).withColumns({
+            "source_size": F.col("_mix_size"), "target": F.col("_mix_target"), "repeats": F.col("_mix_whole") + F.col("_mix_more").cast("int")})
+        .drop("_mix_h", "_mix_b", "_mix_s", "_mix_size", "_mix_target", "_mix_whole", "_mix_extra", "_mix_edge", "_mix_lo", "_mix_more")
     )
 
 

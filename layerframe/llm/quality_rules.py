@@ -4,7 +4,8 @@ Each rule names the condition under which a document is rejected. On a bounded s
 long each rule takes and how much it rejects, and then asks the rules in the order of rejection per cost, so that most
 rejected documents never reach the dear rules. The order changes the cost, never the verdict.
 
-Defined results: a null or empty text has no words and fails the base rules; extra columns pass through untouched;
+Defined results: a null or empty text has no words and fails the base rules; extra columns pass through, those named as a result are replaced,
+and names that start with _rules_ are reserved;
 repeated rows and ties are judged row by row; an empty table gives an empty table.
 """
 
@@ -52,14 +53,14 @@ def base_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the five base counts (long) for every whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = lambda: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    out = df.withColumn("_w", split_words(F.col(text)))
+    out = df.withColumn("_rules_w", split_words(F.col(text)))
     return (
-        out.withColumn("n_words", F.size("_w").cast("bigint"))
+        out.withColumn("n_words", F.size("_rules_w").cast("bigint"))
         .withColumn("word_chars", F.length(F.regexp_replace(t, WHITE, "")).cast("bigint"))
         .withColumn("n_symbols", F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("bigint"))
         .withColumn("n_dup_lines", let(lines(), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")))
-        .withColumn("n_repeat_words", repeat_words(F.col("_w")))
-        .drop("_w")
+        .withColumn("n_repeat_words", repeat_words(F.col("_rules_w")))
+        .drop("_rules_w")
     )
 
 

@@ -1,6 +1,6 @@
 """Exact top-k search by BM25: an inverted index per shard, block-max WAND pruning, an exact merge.
 
-Every input partition becomes a shard: a file in the shared folder with its sorted term hashes, postings (place of the
+Every input partition becomes a shard, or several of MOST_POSTINGS postings: files in the shared folder with its sorted term hashes, postings (place of the
 document, tf) and document lengths. Global statistics (number of documents, mean length, document frequency of the
 queries' terms) are summed over the shards first, so scores of different shards compare. Queries are written in blocks; a
 task takes one shard and one block of queries, and returns the best k of the shard for each.
@@ -35,6 +35,7 @@ from .common import Scratch, shared_dir
 K1, B, K = 1.2, 0.75, 10
 BLOCK = 64
 QUERIES_PER_FILE = 512
+MOST_POSTINGS = 8_000_000
 EVERY = 50
 
 
@@ -70,37 +71,41 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def build(df: DataFrame, folder: str, key: str, text: str) -> DataFrame:
-    """Writes a shard per partition; returns (name, docs, words, terms array<long>, df array<long>), a row per shard and slice of terms."""
+    """Writes the shards of each partition, one or more; returns (name, docs, words, terms array<long>, df array<long>), a row per shard and slice of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, docs, tfs, lens, ids, n = [], [], [], [], [], 0
+        held, n, postings, part = [], 0, 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal n, postings, part
+            t, d, tf, size, ids = (np.concatenate([h[i] for h in held]) for i in range(5))
+            order = np.argsort(t, kind="stable")
+            t, d, tf = t[order], d[order], tf[order]
+            name = f"shard-{TaskContext.get().partitionId():08d}-{part:04d}.npz"
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
+            ptr = np.append(first, len(t))
+            _put(folder, name, {"terms": t[first], "ptr": ptr, "docs": d, "tf": tf, "lens": size, "ids": ids})
+            own, count = t[first].view(np.int64), np.diff(ptr)
+            for i in range(0, max(1, len(own)), 100_000):
+                yield pa.RecordBatch.from_pydict({
+                    "name": [name], "docs": [n if i == 0 else 0], "words": [int(size.sum()) if i == 0 else 0],
+                    "terms": [own[i : i + 100_000]], "df": [count[i : i + 100_000].astype(np.int64)]})
+            held.clear()
+            n, postings, part = 0, 0, part + 1
+
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             at = 0
-            for part in bpe.parts(batch.column(1).to_pylist()):
-                t, d, tf, size = term_counts(part)
-                terms.append(t)
-                docs.append((d + n).astype(np.int32))
-                tfs.append(tf.astype(np.int32))
-                lens.append(size)
-                ids.append(keys[at : at + len(part)])
-                at += len(part)
-                n += len(part)
-        if not n:
-            return
-        t, d, tf = map(np.concatenate, (terms, docs, tfs))
-        order = np.argsort(t, kind="stable")
-        t, d, tf = t[order], d[order], tf[order]
-        name = f"shard-{TaskContext.get().partitionId():08d}.npz"
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
-        ptr = np.append(first, len(t))
-        size = np.concatenate(lens)
-        _put(folder, name, {"terms": t[first], "ptr": ptr, "docs": d, "tf": tf, "lens": size, "ids": np.concatenate(ids).astype(np.int64)})
-        own, count = t[first].view(np.int64), np.diff(ptr)
-        for i in range(0, max(1, len(own)), 100_000):
-            yield pa.RecordBatch.from_pydict({
-                "name": [name], "docs": [n if i == 0 else 0], "words": [int(size.sum()) if i == 0 else 0],
-                "terms": [own[i : i + 100_000]], "df": [count[i : i + 100_000].astype(np.int64)]})
+            for texts in bpe.parts(batch.column(1).to_pylist()):
+                t, d, tf, size = term_counts(texts)
+                held.append((t, (d + n).astype(np.int32), tf.astype(np.int32), size, keys[at : at + len(texts)].astype(np.int64)))
+                at += len(texts)
+                n += len(texts)
+                postings += len(t)
+                if postings >= MOST_POSTINGS:  # a partition of any size becomes shards that fit into memory
+                    yield from flush()
+        if n:
+            yield from flush()
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k IS NOT NULL")
     return rows.mapInArrow(run, "name string, docs long, words long, terms array<long>, df array<long>")

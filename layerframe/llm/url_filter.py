@@ -6,7 +6,8 @@ there is one), connected components over these links are found by distributed ro
 blocks all members without a rule of their own. An explicit allow always wins over what aliases say.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and has no alias; a null html has no links;
-repeated pages are judged alike; an empty table gives an empty table; extra columns pass through.
+repeated pages are judged alike; an empty table gives an empty table; extra columns pass through, those named as
+a result are replaced, and names that start with _url_ are reserved.
 """
 
 from __future__ import annotations
@@ -84,22 +85,22 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, url
     host = F.when(slash > 0, F.substring(parts, F.lit(1), slash - 1)).otherwise(parts)
     path = F.when(slash > 0, F.substring(parts, slash, F.length(parts))).otherwise(F.lit(""))
     bad = (
-        members.withColumn("_r", longest_rule(host, path, rules)).where("_r.action = 'block'")
+        members.withColumn("_url_r", longest_rule(host, path, rules)).where("_url_r.action = 'block'")
         .select("component").distinct()
     )
-    aliases = members.join(bad, "component", "left_semi").select(F.col("node").alias("_node")).distinct()
+    aliases = members.join(bad, "component", "left_semi").select(F.col("node").alias("_url_node")).distinct()
     own = (
         pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-        .withColumn("_r", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_n", node_of(F.col(url)))
+        .withColumn("_url_r", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_url_n", node_of(F.col(url)))
     )
     if aliases.isEmpty():  # no component is blocked: the rules alone decide
-        out = own.withColumn("_node", F.lit(None).cast("string"))
+        out = own.withColumn("_url_node", F.lit(None).cast("string"))
     else:
-        out = own.join(aliases, own["_n"] == aliases["_node"], "left")
-    by_method = F.when(F.col("_node").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+        out = own.join(aliases, own["_url_n"] == aliases["_url_node"], "left")
+    by_method = F.when(F.col("_url_node").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return (
-        out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", F.coalesce(F.col("_r.action"), by_method))
-        .drop("_r", "_n", "_node")
+        out.withColumn("rule", F.col("_url_r.rule")).withColumn("verdict", F.coalesce(F.col("_url_r.action"), by_method))
+        .drop("_url_r", "_url_n", "_url_node")
     )
 
 

@@ -298,9 +298,10 @@ def test_url_filter_sql(spark):
     assert sorted(tuple(r) for r in url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("block", [4, 64])
-def test_search(spark, docs, block, monkeypatch):
+@pytest.mark.parametrize(("block", "postings"), [(4, 8_000_000), (64, 100)])
+def test_search(spark, docs, block, postings, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "MOST_POSTINGS", postings)
     one = docs.dropDuplicates(["doc_id"])
     got = collections.defaultdict(list)
     for r in search.search(one.repartition(5), one.where("doc_id % 5 = 0"), k=7).orderBy("rank").collect():
@@ -347,3 +348,19 @@ def test_quality_model(spark):
     assert quality_model.train(df, labels.limit(0)) is None
     assert {r["score"] for r in quality_model.score(df, None).collect()} == {0.5}
     assert quality_model.score(df.limit(0), net).count() == 0
+
+
+CLASH = "source_size target repeats size n_words kept base_failed host path rule verdict n_lines n_deleted class_id n_links k t id rep component a b u v q raw lo hi m r s1 s2 n bands h value node".split()
+
+
+def test_clashing_columns(spark, docs):
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.lit("x").alias(c) for c in CLASH])
+    n = docs.count()
+    sized = wide.withColumn("size", F.lit(3).cast("long"))
+    assert mixing.mix(sized, "size").where("repeats >= 0 AND source_size > 0 AND m = 'x'").count() == n
+    assert quality_rules.judge(wide).where("n_words >= 0 AND rule = 'x'").count() == n
+    assert line_dedup.dedup(wide).where("n_deleted >= 0 AND raw = 'x'").count() == n
+    pages = wide.select("*", F.col("text").alias("url"), F.lit("").alias("html"))
+    assert url_filter.judge(pages).where("verdict = 'allow' AND m = 'x'").count() == n
+    assert ngram_join.join(wide).count() == n and codec.encode(wide, PATH).count() == n
+    assert language_id.predict(wide, language_id.train(wide)).count() == n
