@@ -89,6 +89,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -
     count never grows, and rounds are logarithmic in the length of a chain. Nodes without an edge to another
     node are left out; null ends are ignored.
     """
+    apart = lambda low: low.hint("rebalance")  # noqa: E731  an exchange of its own, so AQE can split the join on a hub
     e = scratch.save(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -98,11 +99,11 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -
         # large star: all larger neighbours of u go to the smallest node of u's neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(apart(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smaller neighbours of u, and u, go to the smallest of them
         large = scratch.save(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
+        moved = large.join(apart(low), "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = scratch.save(small.where("u <> v").distinct())
         now = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

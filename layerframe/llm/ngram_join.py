@@ -174,8 +174,8 @@ def near_links(scratch: Scratch, sig: DataFrame, df: DataFrame, key: str, text:
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "rep", "s1", "s2", "mult", "component", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.col("blk").alias("side"))
     texts = df.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    # texts meet their representatives once, before blocks repeat them
-    few = texts.join(held.select("rep").distinct(), "rep", "left_semi")
+    # texts meet their representatives once, before blocks repeat them; by sort-merge at every size, so that plans scale alike
+    few = texts.join(held.select("rep").distinct().hint("merge"), "rep", "left_semi")
     rows = units.join(few, "rep").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select(
         "component", "i", "j", F.col("rep").alias("id"), "s1", "s2", "mult", "side", "t")
 
