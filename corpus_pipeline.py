@@ -15,36 +15,49 @@ and empty tables are treated as the operators' docstrings say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerframe.llm import codec, line_dedup, mixing, ngram_join, quality_rules, token_file
 from layerframe.llm.common import Scratch, split_words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CORE = ["doc_id", "text", "source"]
+
+
+def _core(docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns that operators need, and all others in a struct that no operator's result can clash with."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in CORE]
+    return docs.select(*CORE, *more, F.struct(*(rest or [F.lit(0).alias("none")])).alias("_row"))
+
+
+def _back(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    return df.select(*[new.get(c, F.col(c) if c in CORE else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    return _back(quality_rules.judge(_core(docs)).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs)
-    out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where((F.col("n_deleted") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
+    out = line_dedup.dedup(_core(docs))
+    out = out.where((F.col("n_deleted") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    size = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("_row")["n_chars"])
+    return _back(out, docs, n_chars=size)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.join(docs)
-    stays = Scratch(spark, "near").save(classes.where("doc_id = class_id OR doc_id IS NULL").select("doc_id").distinct())
-    kept = docs.join(stays.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    tag = F.xxhash64("text").alias("tag")  # tells rows with one id and different texts apart
+    stays = ngram_join.join(_core(docs, tag), tag="tag").where("doc_id = class_id").select("doc_id", "tag").distinct()
+    rows = _core(docs, tag)
+    kept = rows.join(Scratch(spark, "near").save(stays), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    return _back(kept.unionByName(rows.where("doc_id IS NULL")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.withColumn("mix_size", F.size(split_words(F.col("text"))).cast("bigint"))
-    mixed = mixing.mix(sized, "mix_size").where("repeats > 0 AND mix_size > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(docs.columns)
+    sized = _core(docs, F.size(split_words(F.col("text"))).cast("bigint").alias("size"))
+    mixed = mixing.mix(sized, "size").where("repeats > 0 AND size > 0")
+    return _back(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

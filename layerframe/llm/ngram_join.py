@@ -33,7 +33,7 @@ N = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9999
 MAX_HASHES = 320
-BLOCK_DOCS, BLOCK_CHARS = 512, 4 << 20
+BLOCK_DOCS, BLOCK_CHARS = 192, 4 << 20
 
 
 def choose_bands(threshold: float, recall: float = RECALL, hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -79,8 +79,8 @@ def _set_keys(grams: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a.view(np.int64), b.view(np.int64)
 
 
-def signatures(df: DataFrame, key: str, text: str, bands: int, rows: int, n: int = N) -> DataFrame:
-    """id, s1, s2 (name of the set), n (its size), chars and bands for each row."""
+def signatures(df: DataFrame, key: str, text: str, bands: int, rows: int, n: int = N, tag: str | None = None) -> DataFrame:
+    """id, tag (a long that is carried along), s1, s2 (name of the set), n (its size), chars and bands for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,14 +90,14 @@ def signatures(df: DataFrame, key: str, text: str, bands: int, rows: int, n: int
                 s1, s2 = _set_keys(grams, off)
                 keys = band_hashes(grams, off, bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array(s1), pa.array(s2), pa.array(np.diff(off), pa.int64()),
+                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(s1), pa.array(s2), pa.array(np.diff(off), pa.int64()),
                      pa.array([len(t) for t in part], pa.int64()),
                      pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())],
-                    names=["id", "s1", "s2", "n", "chars", "bands"])
+                    names=["id", "tag", "s1", "s2", "n", "chars", "bands"])
                 at += len(part)
 
-    rows_ = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows_.mapInArrow(run, "id long, s1 long, s2 long, n long, chars long, bands array<long>")
+    rows_ = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag"))
+    return rows_.mapInArrow(run, "id long, tag long, s1 long, s2 long, n long, chars long, bands array<long>")
 
 
 def _intersections(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -207,11 +207,11 @@ def near_links(scratch: Scratch, sig: DataFrame, df: DataFrame, key: str, text:
     return classes, scratch.save(rows.mapInArrow(run, "id long, links long, root long"))
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """key, class_id (the smallest id of its connected component) and n_links (texts with similarity >= threshold, copies counted), for each row."""
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, tag: str | None = None) -> DataFrame:
+    """key, tag (if one is named), class_id (the smallest id of its connected component) and n_links (texts with similarity >= threshold, copies counted), for each row."""
     scratch = Scratch(df.sparkSession, "ngram-join")
     bands, rows = choose_bands(threshold[0] / threshold[1], recall)
-    sig = scratch.save(signatures(df, key, text, bands, rows, n))
+    sig = scratch.save(signatures(df, key, text, bands, rows, n, tag))
     classes, found = near_links(scratch, sig, df, key, text, n, threshold)
     comps = connected_components(scratch, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -220,8 +220,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, thr
         .join(links, F.col("rep") == F.col("id"), "left")
         .select("s1", "s2", "n", F.coalesce("component", "rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    out = sig.select("id", "s1", "s2", "n").join(near, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = sig.select("id", "tag", "s1", "s2", "n").join(near, ["s1", "s2", "n"], "left")
+    return out.select(F.col("id").alias(key), *([F.col("tag").alias(tag)] if tag else []), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
