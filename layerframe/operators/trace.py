@@ -51,7 +51,7 @@ def credentials_for(urls: DataFrame, auths: DataFrame) -> DataFrame:
 
 def ttl_hits(log: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
     """(key, ts, hit): whether an access finds a value not older than the ttl; a miss stores one. A fold over each key's accesses."""
-    rows = log.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts))).alias("a"))
+    rows = log.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts).cast("timestamp"))).alias("a"))
     kind = "array<struct<ts:timestamp,hit:boolean>>"
 
     def step(s: Column, t: Column) -> Column:

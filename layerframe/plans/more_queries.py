@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from layerframe.functions import scalars as sc
 from layerframe.functions.checksums import crc32c_salted
-from layerframe.operators import blocks, cache, trace, tree
+from layerframe.operators import blocks, cache, layers, trace, tree
+from layerframe.sources import config
 
 from . import fixtures as fx
 from .queries import FLAT, flat, query
@@ -327,3 +329,52 @@ def stream_lww(spark, sf):
     return replay_in_batches(fx.segments(spark, sf), 4)
 
 
+
+
+# ---- stacks, candidates, configuration
+
+STACK = "m AS (SELECT s_nationkey AS dev, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS layer, (s_suppkey % 3) * 1024 AS virtual_size FROM supplier)"
+
+
+@query(f"WITH {STACK} SELECT dev, arg_max(virtual_size, layer) AS virtual_size FROM m WHERE virtual_size > 0 GROUP BY dev")
+def stack_virtual_size(spark, sf):
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    m = fx.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("dev"), F.row_number().over(w).alias("layer"), ((F.col("s_suppkey") % 3) * 1024).alias("virtual_size"))
+    return layers.open_stack(fx.segments(spark, sf), m)[1]
+
+
+@query(f"""WITH {fx.SEGMENTS}, {fx.READS}, l AS (SELECT * FROM segments WHERE layer = 1),
+w AS (SELECT dev, 9 AS layer, req_id + 1000000000 AS write_seq, lo, hi, 0::BIGINT AS moff, false AS zeroed FROM reads), e AS (SELECT dev, max(moff + hi - lo) AS e FROM l GROUP BY dev),
+a AS (SELECT w.dev, layer, write_seq, lo, hi, coalesce(e, 8) + coalesce(sum(hi - lo) OVER (PARTITION BY w.dev ORDER BY write_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moff, zeroed FROM w LEFT JOIN e ON w.dev = e.dev)
+SELECT * FROM l UNION ALL SELECT * FROM a""")
+def append_writes(spark, sf):
+    w = fx.reads(spark, sf).selectExpr("dev", "9 AS layer", "req_id + 1000000000 AS write_seq", "lo", "hi", "cast(0 AS bigint) AS moff", "false AS zeroed")
+    return layers.append_writes(fx.segments(spark, sf).where("layer = 1"), w)
+
+
+@query(f"{FLAT} SELECT dev, lo, hi, moff, zeroed, layer, write_seq FROM flat WHERE layer < 7 UNION ALL SELECT dev, lo, hi, moff, zeroed, 8 AS layer, write_seq FROM flat WHERE layer = 7")
+def restack(spark, sf):
+    f = flat(spark, sf)
+    return layers.restack(f.where("layer < 7"), f.where("layer = 7"))
+
+
+@query("""WITH c AS (SELECT s_nationkey AS layer, ['file', 'commit', 'sealed'][(s_suppkey % 3 + 1)::INT] AS kind, s_suppkey % 2 = 0 AS present FROM supplier)
+SELECT layer, coalesce(arg_min(kind, CASE kind WHEN 'file' THEN 0 WHEN 'commit' THEN 1 ELSE 2 END) FILTER (WHERE present), 'remote') AS kind FROM c GROUP BY layer""")
+def layer_candidates(spark, sf):
+    c = fx.table(spark, sf, "supplier").selectExpr("s_nationkey AS layer", "element_at(array('file', 'commit', 'sealed'), cast(s_suppkey % 3 + 1 AS int)) AS kind", "s_suppkey % 2 = 0 AS present")
+    return trace.first_candidate(c, {"file": 0, "commit": 1, "sealed": 2})
+
+
+CONFIG = """'{"repoBlobUrl":"https://r/' || s_suppkey || '","lowers":[{"file":"f' || s_nationkey || '","size":' || s_suppkey || '},{"dir":"d"}]' || CASE WHEN s_suppkey % 2 = 0 THEN ',"accelerationLayer":true' ELSE '' END || '}'"""
+
+
+@query(f"""WITH c AS (SELECT {CONFIG} AS value FROM supplier)
+SELECT value, value->>'$.repoBlobUrl' AS repo_blob_url, json_array_length(value, '$.lowers')::INT AS n_lowers, value->>'$.lowers[0].file' AS first_file, (value->>'$.lowers[0].size')::BIGINT AS first_size, coalesce((value->>'$.accelerationLayer')::BOOLEAN, false) AS acceleration_layer FROM c""")
+def image_config(spark, sf):
+    got = config.parse_images(fx.table(spark, sf, "supplier").selectExpr(f"{CONFIG} AS value"))
+    return got.select("value", "repo_blob_url", F.size("lowers").alias("n_lowers"), F.col("lowers")[0]["file"].alias("first_file"), F.col("lowers")[0]["size"].alias("first_size"), "acceleration_layer")
+
+
+@query()
+def ttl_hits(spark, sf):
+    return trace.ttl_hits(fx.table(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", 3600)
