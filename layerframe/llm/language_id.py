@@ -98,15 +98,18 @@ def document_frequency(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def _sample(df: DataFrame, key: str, text: str, label: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(class, buckets, counts) of the SAMPLE_PER_CLASS rows of each class with the smallest hashes."""
+    """(class, buckets, counts) of the SAMPLE_PER_CLASS rows of each class with the smallest hashes.
+
+    A class's size gives a bound under which about twice as many hashes lie; only rows below it are put in order.
+    """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y")).where("t IS NOT NULL AND y IS NOT NULL")
-    rows = rows.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.length("t")))
-    order = Window.partitionBy("y").orderBy("h")
-    edge = (
-        rows.select("y", "h").withColumn("r", F.row_number().over(order)).where(f"r <= {SAMPLE_PER_CLASS}")
-        .groupBy("y").agg(F.max("h").alias("edge")).withColumnRenamed("y", "y2")
-    )
-    few = rows.join(edge, (F.col("y") == F.col("y2")) & (F.col("h") <= F.col("edge"))).select("y", "h", "t")
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string"), F.length("t")), 1))
+    share = F.least(F.lit(1.0), 2.0 * SAMPLE_PER_CLASS / F.count("*"))
+    bound = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("y2")).agg((share * float(2**63 - 1024)).cast("long").alias("bound"))
+    # one row per class, of which the model holds BUCKETS weights each
+    near = rows.join(F.broadcast(bound), (F.col("y") == F.col("y2")) & (F.col("h") <= F.col("bound"))).select("y", "h", "t")
+    order = Window.partitionBy("y").orderBy("h", "t")
+    few = near.withColumn("r", F.row_number().over(order)).where(f"r <= {SAMPLE_PER_CLASS}").select("y", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
