@@ -18,12 +18,11 @@ MOST_SENT = 1_000_000
 def lookup_points(index: DataFrame, probes: DataFrame, most_sent: int = MOST_SENT, width: int = BIN) -> DataFrame:
     """(dev, sector, moff, zeroed, layer) for each probe (dev, sector) that a mapping covers; the index has no overlaps."""
     cols = ["dev", "lo", "hi", "moff", "zeroed", "layer"]
-    small = index.select(cols).limit(most_sent + 1).count() <= most_sent
-    if not small:
+    t = index.select(cols).limit(most_sent + 1).toArrow()
+    if t.num_rows > most_sent:
         idx = into_bins(index.select(cols), width=width)
         got = idx.join(probes.select("dev", "sector", F.floor(F.col("sector") / width).cast("long").alias("bin")), ["dev", "bin"]).where("lo <= sector AND sector < hi")
         return got.select("dev", "sector", trimmed(F.col("moff"), F.col("sector") - F.col("lo"), F.col("zeroed")).alias("moff"), "zeroed", "layer")
-    t = index.select(cols).toArrow()
     dev, lo, hi, moff, layer = (t[c].to_numpy().astype(np.int64) for c in ("dev", "lo", "hi", "moff", "layer"))
     zeroed = t["zeroed"].to_numpy()
     order = np.lexsort((lo, dev))
