@@ -2,11 +2,11 @@
 
 Every input partition becomes a shard, or several of MOST_POSTINGS postings: files in the shared folder with its sorted term hashes, postings (place of the
 document, tf) and document lengths. Global statistics (number of documents, mean length, document frequency of the
-queries' terms) are summed over the shards first, so scores of different shards compare. Queries are written in blocks; a
-task takes one shard and one block of queries, and returns the best k of the shard for each.
+queries' terms) are summed over the shards first, so scores of different shards compare. Queries are written in files; a
+task takes a file of queries through the shards, one after the other, and returns the best k for each query.
 
-Within a shard documents lie in blocks of BLOCK. For each term and block the largest impact is known. A query adds these up to a
-bound per block, scores the blocks with the best bounds, and takes the k-th best score so far as its threshold; blocks
+Within a shard documents lie in blocks of BLOCK, ordered by their most frequent common term and their length, so that a block's documents are alike. For each term and block the largest impact is known. A query adds these up to a
+bound per block, scores the blocks with the best bounds, and takes the k-th best score so far, here or in the shards before, as its threshold; blocks
 whose bound does not reach it are skipped whole, the others are scored in full, so results are exact. A term is a
 64-bit hash of a lower-cased word.
 
@@ -18,7 +18,6 @@ with the same id they are each searched (one result per id and rank is kept); a
 
 from __future__ import annotations
 
-import functools
 import io
 import uuid
 from collections.abc import Iterator
@@ -34,8 +33,11 @@ from .common import Scratch, shared_dir
 
 K1, B, K = 1.2, 0.75, 10
 BLOCK = 64
-QUERIES_PER_FILE = 512
+#: Most queries of a file.
+QUERIES_PER_FILE = 8192
 MOST_POSTINGS = 8_000_000
+#: Most shards of a unit of work.
+SHARDS = 2048
 EVERY = 50
 
 
@@ -57,6 +59,11 @@ def _get(folder: str, name: str) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers from 0 on in the narrowest type."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
 def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, text index, tf) sorted by text and term, and the length of each text."""
     h, off = wordhash.words(texts, lower=True)
@@ -70,6 +77,19 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return h[at], doc[at], np.diff(np.append(at, len(h))), n
 
 
+def alike(t: np.ndarray, d: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """An order in which neighbours are alike, so that blocks have tight bounds: by the most frequent common term, then by length."""
+    new = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.empty(0, bool)
+    term = np.cumsum(new) - 1
+    common = (np.bincount(term) > 0.02 * len(size))[term] if len(t) else new
+    c, w = d[common], tf[common]
+    order = np.lexsort((w, c))
+    last = np.append(c[order][1:] != c[order][:-1], True)[: len(order)]
+    top = np.full(len(size), -1)
+    top[c[order][last]] = term[common][order][last]
+    return np.lexsort((size, top))
+
+
 def build(df: DataFrame, folder: str, key: str, text: str) -> DataFrame:
     """Writes the shards of each partition, one or more; returns (name, docs, words, terms array<long>, df array<long>), a row per shard and slice of terms."""
 
@@ -81,10 +101,17 @@ def build(df: DataFrame, folder: str, key: str, text: str) -> DataFrame:
             t, d, tf, size, ids = (np.concatenate([h[i] for h in held]) for i in range(5))
             order = np.argsort(t, kind="stable")
             t, d, tf = t[order], d[order], tf[order]
+            place = alike(t, d, tf, size)
+            size, ids = size[place], ids[place]
+            back = np.empty(n, np.int32)
+            back[place] = np.arange(n, dtype=np.int32)
+            d = back[d]
+            order = np.lexsort((d, t))
+            t, d, tf = t[order], d[order], tf[order]
             name = f"shard-{TaskContext.get().partitionId():08d}-{part:04d}.npz"
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
             ptr = np.append(first, len(t))
-            _put(folder, name, {"terms": t[first], "ptr": ptr, "docs": d, "tf": tf, "lens": size, "ids": ids})
+            _put(folder, name, {"terms": t[first], "ptr": small(ptr), "docs": small(d), "tf": small(tf), "lens": small(size), "ids": ids})
             own, count = t[first].view(np.int64), np.diff(ptr)
             for i in range(0, max(1, len(own)), 100_000):
                 yield pa.RecordBatch.from_pydict({
@@ -129,20 +156,20 @@ def query_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 class ShardIndex:
     """A shard in memory, with impacts from the global statistics and the largest impact per term and block."""
 
-    def __init__(self, folder: str, name: str, mean: float):
+    def __init__(self, folder: str, name: str, mean: float, size: int):
         z = _get(folder, name)
-        self.terms, self.ptr, self.docs, self.ids = z["terms"], z["ptr"], z["docs"], z["ids"]
-        tf, norm = z["tf"].astype(np.float64), K1 * (1 - B + B * z["lens"] / mean)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        block = self.docs // BLOCK
+        self.terms, self.ids, ptr = z["terms"], z["ids"], z["ptr"]
+        self.docs, tf = z["docs"].astype(np.int64), z["tf"].astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * z["lens"] / mean))[self.docs])
+        block = self.docs // size
         new = np.ones(len(block), bool)
         new[1:] = block[1:] != block[:-1]
-        new[self.ptr[:-1]] = True
+        new[ptr[:-1].astype(np.int64)] = True
         start = np.flatnonzero(new)
-        self.n, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        self.size, self.n, self.blocks = size, len(self.ids), -(-len(self.ids) // size)
         self.block, self.bstart = block[start], np.append(start, len(block))  # a term's postings in one block lie side by side
         self.bmax = np.maximum.reduceat(self.impact, start) if len(start) else np.empty(0)
-        self.bptr = np.searchsorted(start, self.ptr)
+        self.bptr = np.searchsorted(start, ptr)
 
     @staticmethod
     def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -150,8 +177,8 @@ class ShardIndex:
         n = hi - lo
         return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, rounded scores) of the shard's best k for a query."""
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, rounded scores) of the shard's best k for a query, as far as they reach the floor: the k-th best score of other shards."""
         at = np.searchsorted(self.terms, terms)
         hit = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
         at, w = at[hit], weights[hit]
@@ -160,42 +187,37 @@ class ShardIndex:
         # bound of every block
         b0, b1 = self.bptr[at], self.bptr[at + 1]
         runs = self._spread(b0, b1)
-        rw = np.repeat(w, b1 - b0)
-        bound = np.bincount(self.block[runs], self.bmax[runs] * rw, self.blocks)
-        # the blocks with the best bounds give the threshold
-        few = max(2, -(-2 * k // BLOCK))
-        lead = np.argpartition(-bound, min(few, self.blocks) - 1)[:few] if self.blocks > few else np.arange(self.blocks)
-        todo = np.zeros(self.blocks, bool)
-        todo[lead] = True
-        score = np.zeros(self.n)
-        self._score(runs, rw, todo, score)
-        best = np.round(score[score > 0], 6)
-        floor = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
-        rest = (bound >= floor - 1e-5) & (bound > 0) & ~todo
-        if rest.any():
-            self._score(runs, rw, rest, score)
+        rw, rb = np.repeat(w, b1 - b0), self.block[runs]
+        bound = np.bincount(rb, self.bmax[runs] * rw, self.blocks)
+        score, todo = np.zeros(self.n), (bound >= floor - 1e-5) & (bound > 0)
+        if 4 * np.count_nonzero(todo) > self.blocks:
+            # many blocks may hold a result: the ones with the best bounds give a better threshold first
+            few = max(2, -(-2 * k // self.size))
+            lead = np.zeros(self.blocks, bool)
+            lead[np.argpartition(-bound, min(few, self.blocks) - 1)[:few]] = True
+            self._score(runs, rw, lead[rb], score)
+            best = np.round(score[score > 0], 6)
+            if len(best) >= k:
+                floor = max(floor, np.partition(best, len(best) - k)[len(best) - k])
+            todo &= (bound >= floor - 1e-5) & ~lead
+        if todo.any():
+            self._score(runs, rw, todo[rb], score)
         score = np.round(score, 6)
-        found = np.flatnonzero(score > 0)
+        found = np.flatnonzero((score > 0) & (score >= floor))
         if len(found) > k:  # keep all that tie with the k-th
             edge = np.partition(score[found], len(found) - k)[len(found) - k]
             found = found[score[found] >= edge]
         found = found[np.lexsort((self.ids[found], -score[found]))][:k]
         return self.ids[found], score[found]
 
-    def _score(self, runs: np.ndarray, rw: np.ndarray, blocks: np.ndarray, score: np.ndarray) -> None:
-        """Adds the impacts of the chosen blocks' postings, term by term in one order."""
-        on = blocks[self.block[runs]]
+    def _score(self, runs: np.ndarray, rw: np.ndarray, on: np.ndarray, score: np.ndarray) -> None:
+        """Adds the impacts of the chosen runs of postings, term by term in one order."""
         r = runs[on]
         lo, hi = self.bstart[r], self.bstart[r + 1]
         p = self._spread(lo, hi)
         score += np.bincount(self.docs[p], self.impact[p] * np.repeat(rw[on], hi - lo), self.n)
 
 
-@functools.lru_cache(maxsize=1)
-def _shard(folder: str, name: str, mean: float) -> ShardIndex:
-    return ShardIndex(folder, name, mean)
-
-
 def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k rows of df for each row of queries (same columns key and text)."""
     spark = df.sparkSession
@@ -213,6 +235,12 @@ def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
         .select("q", F.col("x.term").alias("terms"), F.col("x.w").alias("weights"))
     )
 
+    # Files of queries are units of work: enough of them to keep the cluster busy, and each as large as that allows, since every unit reads
+    # the shards once. A unit carries each query's threshold from shard to shard.
+    n_queries, cores = weighted.count(), spark.sparkContext.defaultParallelism
+    per_file = max(1, min(QUERIES_PER_FILE, -(-n_queries // cores)))
+    n_files = max(1, -(-n_queries // per_file))
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, part, task = [], 0, TaskContext.get().partitionId()
 
@@ -229,33 +257,45 @@ def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             for row in batch.to_pylist():
                 rows.append(row)
-                if len(rows) == QUERIES_PER_FILE:
+                if len(rows) == per_file:
                     yield write()
         if rows:
             yield write()
 
-    blocks = scratch.save(weighted.mapInArrow(put, "block string"))
-    # names of files only: every pair of a shard and a block of queries is one unit of work
-    units = shards.select("name").distinct().join(blocks, how="cross")
-    wide = max(1, units.count())
+    blocks = scratch.save(weighted.repartition(n_files).mapInArrow(put, "block string"))
+    names, size = shards.select("name").distinct(), BLOCK
+    count = names.count()
+    # shards are divided only where queries are too few to keep the cluster busy, or shards too many for one task; only names of files are paired
+    groups = max(1, min(count, max(-(-cores // n_files), -(-count // SHARDS))))
+    nth = F.row_number().over(Window.orderBy("name"))  # a row per file
+    sets = names.withColumn("g", nth % groups).groupBy("g").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    units = scratch.save(sets.join(blocks, how="cross").select("names", "block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                index, z = _shard(folder, name, mean), _get(folder, block)
-                qs, ids, scores = [], [], []
-                for i, q in enumerate(z["q"].tolist()):
-                    a, b = z["ptr"][i], z["ptr"][i + 1]
+            for unit in batch.to_pylist():
+                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                z = _get(folder, unit["block"])
+                queries = []
+                for q, a, b in zip(z["q"].tolist(), z["ptr"][:-1], z["ptr"][1:], strict=True):
                     order = np.argsort(z["terms"][a:b], kind="stable")
-                    got, s = index.top(z["terms"][a:b][order], z["weights"][a:b][order], k)
-                    qs.append(np.full(len(got), q, np.int64))
-                    ids.append(got)
-                    scores.append(s)
-                if qs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, ids, scores)], names=["query_id", "doc_id", "score"])
-
-    tasks = min(wide, max(spark.sparkContext.defaultParallelism * 4, shards.select("name").distinct().count()))
-    hits = units.repartitionByRange(tasks, "name", "block").sortWithinPartitions("name", "block").mapInArrow(run, "query_id long, doc_id long, score double")
+                    queries.append((q, z["terms"][a:b][order], z["weights"][a:b][order]))
+                for name in unit["names"]:
+                    index = ShardIndex(folder, name, mean, size)
+                    for q, terms, weights in queries:
+                        ids, scores = best.get(q, (np.empty(0, np.int64), np.empty(0)))
+                        floor = float(scores[-1]) if len(scores) == k else 0.0
+                        got, s = index.top(terms, weights, k, floor)
+                        if len(got):
+                            ids, scores = np.concatenate([ids, got]), np.concatenate([scores, s])
+                            top = np.lexsort((ids, -scores))[:k]
+                            best[q] = ids[top], scores[top]
+                if best:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(list(best), [len(x) for x, _ in best.values()])), pa.array(np.concatenate([x for x, _ in best.values()])), pa.array(np.concatenate([x for _, x in best.values()]))],
+                        names=["query_id", "doc_id", "score"])
+
+    hits = units.repartition(max(1, units.count())).mapInArrow(run, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
