@@ -99,15 +99,17 @@ def build(df: DataFrame, folder: str, key: str, text: str) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal n, postings, part
             t, d, tf, size, ids = (np.concatenate([h[i] for h in held]) for i in range(5))
-            order = np.argsort(t, kind="stable")
+            held.clear()
+            order = np.argsort(t, kind="stable").astype(np.int32)
             t, d, tf = t[order], d[order], tf[order]
             place = alike(t, d, tf, size)
             size, ids = size[place], ids[place]
             back = np.empty(n, np.int32)
             back[place] = np.arange(n, dtype=np.int32)
             d = back[d]
-            order = np.lexsort((d, t))
-            t, d, tf = t[order], d[order], tf[order]
+            order = np.lexsort((d, t)).astype(np.int32)
+            t, d, tf = t[order], small(d)[order], small(tf)[order]
+            del order
             name = f"shard-{TaskContext.get().partitionId():08d}-{part:04d}.npz"
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
             ptr = np.append(first, len(t))
@@ -117,7 +119,6 @@ def build(df: DataFrame, folder: str, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "name": [name], "docs": [n if i == 0 else 0], "words": [int(size.sum()) if i == 0 else 0],
                     "terms": [own[i : i + 100_000]], "df": [count[i : i + 100_000].astype(np.int64)]})
-            held.clear()
             n, postings, part = 0, 0, part + 1
 
         for batch in batches:
@@ -281,6 +282,7 @@ def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
                     order = np.argsort(z["terms"][a:b], kind="stable")
                     queries.append((q, z["terms"][a:b][order], z["weights"][a:b][order]))
                 for name in unit["names"]:
+                    index = None  # one shard in memory at a time
                     index = ShardIndex(folder, name, mean, size)
                     for q, terms, weights in queries:
                         ids, scores = best.get(q, (np.empty(0, np.int64), np.empty(0)))
