@@ -5,15 +5,15 @@ document, tf) and document lengths. Global statistics (number of documents, mean
 queries' terms) are summed over the shards first, so scores of different shards compare. Queries are written in files; a
 task takes a file of queries through the shards, one after the other, and returns the best k for each query.
 
-Within a shard documents lie in blocks of BLOCK, ordered by their most frequent common term and their length, so that a block's documents are alike. For each term and block the largest impact is known. A query adds these up to a
-bound per block, scores the blocks with the best bounds, and takes the k-th best score so far, here or in the shards before, as its threshold; blocks
+Within a shard documents lie in blocks of BLOCK, ordered by their most frequent common term and their length, so that a block's
+documents are alike. For each term and block the largest impact is known. A query adds these up to a bound per block, scores the blocks with the best bounds, and takes the k-th best score so far, here or in the shards before, as its threshold; blocks
 whose bound does not reach it are skipped whole, the others are scored in full, so results are exact. A term is a
 64-bit hash of a lower-cased word.
 
 Defined results: score = sum over the query's distinct terms of qtf * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len / mean)),
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)), rounded to 6 places; ties go to the smaller id; only documents that share a term are
-returned, the query itself among them; queries without words and null texts return nothing; repeated rows are each a document, and as queries
-with the same id they are each searched (one result per id and rank is kept); a null id is neither query nor result; empty tables give empty tables.
+returned, the query itself among them; queries without words and null texts return nothing; repeated rows are each a document; rows of queries with
+one id make one query, with each term as often as in the row that has it most; a null id is neither query nor result; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -249,9 +249,12 @@ def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
             nonlocal part
             name = f"queries-{task:08d}-{part:06d}.npz"
             part += 1
+            terms, weights = [np.array(r["terms"], np.int64) for r in rows], [np.array(r["weights"]) for r in rows]
+            last = [np.append(t[1:] != t[:-1], True) for t in terms]  # of equal terms the one with the largest weight
+            terms, weights = [t[x] for t, x in zip(terms, last, strict=True)], [w[x] for w, x in zip(weights, last, strict=True)]
             _put(folder, name, {
-                "q": np.array([r["q"] for r in rows]), "ptr": np.cumsum([0, *(len(r["terms"]) for r in rows)]),
-                "terms": np.concatenate([r["terms"] for r in rows]).astype(np.int64).view(np.uint64), "weights": np.concatenate([r["weights"] for r in rows])})
+                "q": np.array([r["q"] for r in rows]), "ptr": np.cumsum([0, *map(len, terms)]),
+                "terms": np.concatenate(terms).view(np.uint64), "weights": np.concatenate(weights)})
             rows.clear()
             return pa.RecordBatch.from_pydict({"block": [name]})
 

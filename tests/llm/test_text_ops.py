@@ -319,6 +319,9 @@ def test_search(spark, docs, block, postings, monkeypatch):
         assert [d for d, _ in got[q]] == [d for d, _ in want]
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-6)
     assert search.search(one.limit(0), one).count() == 0
+    twice = one.where("doc_id = 3")
+    again = search.search(one, twice.union(twice), k=3).orderBy("rank").collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in search.search(one, twice, k=3).orderBy("rank").collect()]
 
 
 def test_language_id(spark):
