@@ -133,8 +133,22 @@ f AS (SELECT file_id, min(de_pos) AS de_pos, arg_min(en_pos, de_pos) AS en_pos F
 SELECT r.req_id, r.file_id, r."offset", coalesce(p.de_pos, f.de_pos) AS de_pos, coalesce(p.en_pos, f.en_pos) AS en_pos
 FROM r ASOF LEFT JOIN p ON r.file_id = p.file_id AND r."offset" >= p.de_pos LEFT JOIN f ON f.file_id = r.file_id""")
 def checkpoint_floor(spark, sf):
-    p = fx.table(spark, sf, "orders").where("o_orderkey % 16 = 0").selectExpr("o_custkey % 8 AS file_id", "o_orderkey * 512 AS de_pos", "o_orderkey * 128 AS en_pos").groupBy("file_id", "de_pos").agg(F.max("en_pos").alias("en_pos"))
-    r = fx.table(spark, sf, "events").where("event_id % 10 = 0").selectExpr("event_id AS req_id", "event_id % 8 AS file_id", "(event_id * 7919) % 4000000 AS offset")
+    """On a sixteenth of the orders and a tenth of the events, as its SQL; checkpoint_floor_all takes the whole tables."""
+    return _floor(fx.table(spark, sf, "orders").where("o_orderkey % 16 = 0"), fx.table(spark, sf, "events").where("event_id % 10 = 0"))
+
+
+@query("""WITH p AS (SELECT o_custkey % 8 AS file_id, o_orderkey * 512 AS de_pos, max(o_orderkey * 128) AS en_pos FROM orders GROUP BY ALL),
+r AS (SELECT event_id AS req_id, event_id % 8 AS file_id, (event_id * 7919) % 4000000 AS "offset" FROM events),
+f AS (SELECT file_id, min(de_pos) AS de_pos, arg_min(en_pos, de_pos) AS en_pos FROM p GROUP BY file_id)
+SELECT r.req_id, r.file_id, r."offset", coalesce(p.de_pos, f.de_pos) AS de_pos, coalesce(p.en_pos, f.en_pos) AS en_pos
+FROM r ASOF LEFT JOIN p ON r.file_id = p.file_id AND r."offset" >= p.de_pos LEFT JOIN f ON f.file_id = r.file_id""")
+def checkpoint_floor_all(spark, sf):
+    return _floor(fx.table(spark, sf, "orders"), fx.table(spark, sf, "events"))
+
+
+def _floor(orders, events):
+    p = orders.selectExpr("o_custkey % 8 AS file_id", "o_orderkey * 512 AS de_pos", "o_orderkey * 128 AS en_pos").groupBy("file_id", "de_pos").agg(F.max("en_pos").alias("en_pos"))
+    r = events.selectExpr("event_id AS req_id", "event_id % 8 AS file_id", "(event_id * 7919) % 4000000 AS offset")
     return blocks.checkpoint_floor(r, p, ["file_id"], 1 << 20)
 
 
