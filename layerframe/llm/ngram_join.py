@@ -121,7 +121,10 @@ def _intersections(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _verify(members: list[dict], n: int, threshold: tuple[int, int]) -> Iterator[tuple[int, int, int]]:
-    """(id, links, root) of the texts of one unit that have a link in it. members: id, s1, s2, mult, t, side of the unit."""
+    """(id, links, root) of the texts of one unit that have a link in it. members: i and j of the unit, id, s1, s2, mult, t, side (i or j)."""
+    across = members[0]["i"] != members[0]["j"]
+    if across and len({m["side"] for m in members}) < 2:  # one block is empty; pairs inside the other belong to its own unit
+        return
     seen: dict[int, dict] = {}
     grams, off = wordhash.shingles([m["t"] for m in members], n)
     s1, s2 = _set_keys(grams, off)
@@ -139,8 +142,8 @@ def _verify(members: list[dict], n: int, threshold: tuple[int, int]) -> Iterator
     p, q = threshold
     linked = (p + q) * both >= p * (size[:, None] + size[None, :])  # p / q <= both / union
     np.fill_diagonal(linked, False)
-    side = np.array([members[i]["side"] for i in use])
-    if side.min() != side.max():
+    if across:
+        side = np.array([members[i]["side"] for i in use])
         linked &= side[:, None] != side[None, :]
     mult = np.array([members[i]["mult"] for i in use], np.int64)
     ids = [members[i]["id"] for i in use]

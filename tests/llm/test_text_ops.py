@@ -234,6 +234,17 @@ def test_ngram_join(spark, docs, block, monkeypatch):
     assert ngram_join.join(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_empty_blocks(spark, monkeypatch):
+    """Few, long texts leave blocks empty; each link is counted once all the same."""
+    monkeypatch.setattr(ngram_join, "BLOCK_CHARS", 600)
+    rows = []
+    for g in range(16):
+        words = [f"g{g:02}w{k:03}" for k in range(100)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:50], "changed", *words[51:]]))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(i, i // 2 * 2, 1) for i in range(32)]
+
+
 def test_bands():
     for s in (0.5, 0.7, 0.8, 0.95):
         b, r = ngram_join.choose_bands(s, 0.999, 512)
