@@ -5,6 +5,10 @@ their aliases: pages are linked by canonical links and redirects (meta refresh,
 there is one), connected components over these links are found by distributed rounds, and a component with a blocked member
 blocks all members without a rule of their own. An explicit allow always wins over what aliases say.
 
+Link targets are references: character references in them are decoded, and they are resolved against the page's url (targets
+of the redirects against their source), with dot segments removed. A base element is not read. ORACLE resolves only targets
+with ://, // or a leading /, and decodes none.
+
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and has no alias; a null html has no links;
 repeated pages are judged alike; an empty table gives an empty table; extra columns pass through, those named as
 a result are replaced, and names that start with _url_ are reserved.
@@ -12,10 +16,13 @@ a result are replaced, and names that start with _url_ are reserved.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, let
 
 #: action, host, path
 RULES = (
@@ -26,6 +33,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?"
+#: path and query of a reference; one that starts with a scheme
+RELATIVE, SCHEME = "(?s)^([^?#]*)(\\?[^#]*)?", "^[A-Za-z][A-Za-z0-9+.-]*:"
+#: a character reference, as attributes hold them, or what lies between two
+REFERENCE = "&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;|&[A-Za-z][A-Za-z0-9]*(?![=A-Za-z0-9;])|[^&]+|&"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,7 +51,55 @@ def path_of(url: Column) -> Column:
 def node_of(url: Column) -> Column:
     """What a url names, whatever its scheme and fragment; null where it names nothing."""
     u = F.coalesce(url, F.lit(""))
-    return F.when(F.instr(u, "://") > 0, F.concat(host_of(u), path_of(u), F.regexp_extract(u, PARTS, 3)))
+    return F.when(F.instr(u, "://") > 0, F.concat(host_of(u), let(path_of(u), without_dots), F.regexp_extract(u, PARTS, 3)))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without the segments . and .., which go up at most to the root."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    add = lambda done, x: (
+        F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    )
+    left = F.aggregate(parts, F.array().cast("array<string>"), add)
+    tail = F.when(path.rlike("/\\.\\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike("/\\.\\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(left, tail), "/"))).otherwise(path)
+
+
+def decoded(value: Column) -> Column:
+    """An attribute's value with its character references replaced; unknown ones stay as they are."""
+    known = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    western = F.lit("".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)))  # what 128 to 159 stand for
+
+    def numbered(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        base16 = F.conv(digits, 16, 10).cast("long")
+        code = F.when(F.length(digits).between(1, 7), F.when(x.rlike("^&#[xX]"), base16).otherwise(digits.try_cast("long")))
+        return let(
+            F.coalesce(code, F.lit(0)),
+            lambda n: F.when(n.between(128, 159), F.substr(western, (n - 127).cast("int"), F.lit(1))).otherwise(
+                F.decode(F.unhex(F.lpad(F.hex(F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), n).otherwise(0xFFFD)), 8, "0")), "UTF-32"),
+            ),
+        )
+
+    one = lambda x: (
+        F.when(x.startswith("&#") & (F.length(x) > 2), numbered(x))
+        .when(x.startswith("&"), F.coalesce(F.try_element_at(known, F.substr(x, F.lit(2))), x)).otherwise(x)
+    )
+    tokens = F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0))
+    return F.when(value.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(value)
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The url that a reference names on the page of this url."""
+    path, query = F.regexp_extract(to, RELATIVE, 1), F.regexp_extract(to, RELATIVE, 2)
+    here = path_of(url)
+    folder = F.when(here == "", F.lit("/")).otherwise(F.regexp_replace(here, "[^/]*$", ""))
+    same = F.concat(here, F.when(query == "", F.regexp_extract(F.coalesce(url, F.lit("")), PARTS, 3)).otherwise(query))
+    local = F.when(path == "", same).when(path.startswith("/"), F.concat(path, query)).otherwise(F.concat(folder, path, query))
+    return (
+        F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike(SCHEME), to)
+        .otherwise(F.concat(F.lit("http://"), host_of(url), local))
+    )
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -55,22 +114,23 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits))
 
 
+def node_at(to: Column, url: Column) -> Column:
+    """What a reference names on the page of this url."""
+    return let(resolved(to, url), node_of)  # each step once: its value is named many times in the next
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): node of the page and of the target of its canonical links and meta refreshes."""
     text = F.coalesce(F.col(html), F.lit(""))
     tag = lambda name, attr, value: F.regexp_extract_all(text, F.lit(f"(?is)<{name}\\b[^>]*\\b{attr}\\s*=\\s*[\"']?{value}[\"'\\s>/][^>]*>?"), F.lit(0))
     hrefs = F.transform(tag("link", "rel", "canonical"), lambda x: F.regexp_extract(x, "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
-    moves = F.transform(tag("meta", "http-equiv", "refresh"), lambda x: F.regexp_extract(x, "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>;]+)", 1))
-    to = F.col("to")
-    full = (
-        F.when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(F.lit("http://"), host_of(F.col(url)), to)).otherwise(to)
-    )
+    moves = F.transform(tag("meta", "http-equiv", "refresh"), lambda x: F.regexp_extract(x, "(?is)\\burl\\s*=\\s*[\"']?((?:&#?\\w+;|[^\"'\\s>;])+)", 1))
     found = (
         pages.where(F.lower(text).rlike("canonical|refresh"))
         .select(F.col(url), F.explode(F.concat(hrefs, moves)).alias("to")).where("to <> ''")
     )
-    return found.select(node_of(F.col(url)).alias("a"), node_of(full).alias("b"))
+    b = let(decoded(F.col("to")), lambda to: node_at(to, F.col(url)))
+    return found.select(node_of(F.col(url)).alias("a"), b.alias("b"))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
@@ -78,7 +138,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, url
     scratch = Scratch(pages.sparkSession, "url-filter")
     edges = links(pages, url, html)
     if redirects is not None:
-        edges = edges.union(redirects.select(node_of(F.col("source_url")), node_of(F.col("target_url"))))
+        edges = edges.union(redirects.select(node_of(F.col("source_url")), node_at(F.col("target_url"), F.col("source_url"))))
     members = scratch.save(connected_components(scratch, edges))
     parts = F.split("node", "[?]", 2)[0]
     slash = F.instr(parts, "/")

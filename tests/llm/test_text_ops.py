@@ -298,6 +298,26 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_relative(spark):
+    """Relative targets and encoded ones reach their pages, as urljoin and html.unescape have them."""
+    import html
+    from urllib.parse import urljoin
+
+    base = "http://rel.net/a/b/page?x=1"
+    refs = ["next.html", "../up", "./same/", "../../../root", "?id=2", "/abs/../c", "/q?a=1&amp;b=2", "d?a=1&#38;b=&#x32;", "sub/.", "..", "x?u=http://y/", "//other.net/z", "HTTP://far.net/1&copy;&nope", "/n&#233;", "#top", "e&#0128;&#x110000;&amp;"]
+    one = spark.createDataFrame([(r,) for r in refs], "r string").select("r", url_filter.node_of(url_filter.resolved(url_filter.decoded(F.col("r")), F.lit(base))).alias("n"))
+    want = {r: re.sub("(?i)^http://|#.*$", "", urljoin(base, html.unescape(r))) for r in refs}
+    assert len(want) == len(refs)
+    assert {r["r"]: r["n"] for r in one.collect()} == want
+    blocked = "https://example.org/es/dir/"
+    pages = [(1, blocked + "start?n=1", "<link rel='canonical' href='../x?a=1&amp;b=2'>"), (2, "http://free.net/d/one", '<meta http-equiv="refresh" content="0; url=next.html?a=1&amp;b=2">'),
+             (3, "http://free.net/d/next.html?a=1&b=2", f'<link rel="canonical" href="{blocked}start?n=1">'), (4, "http://free.net/d/next.html?a=1", ""),
+             (5, "http://free.net/q", '<link rel="canonical" href="?id=2">'), (6, "http://free.net/q?id=2", f'<meta http-equiv=refresh content="0;url={blocked}">'), (7, "http://free.net/moved/here", "")]
+    moved = spark.createDataFrame([("http://free.net/moved/here", "../d/./one")], "source_url string, target_url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), redirects=moved).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block"}
+
+
 def test_url_filter_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import pandas as pd
