@@ -21,20 +21,18 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """key, n_tokens and the digests of ids and decoded text; with full also ids (decimal, spaced) and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.chunk_encoder(tokenizer)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for batch in batches:
-            at = 0
-            for part in bpe.parts(batch.column(1).to_pylist()):
-                out = encoder.encode(part)
-                cols = [batch.column(0).slice(at, len(part)), pa.array([x[0] for x in out], pa.int64()),
-                        pa.array([sha(x[1]) for x in out]), pa.array([sha(x[2]) for x in out])]
-                names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if full:
-                    cols += [pa.array([x[1] for x in out]), pa.array([x[2] for x in out])]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-                at += len(part)
+        with bpe.at_rest(bpe.chunk_encoder(tokenizer)) as encoder:
+            for batch in batches:
+                for at, part in bpe.slices(batch.column(1)):
+                    out = encoder.encode(part)
+                    cols = [batch.column(0).slice(at, len(part)), pa.array([x[0] for x in out], pa.int64()),
+                            pa.array([sha(x[1]) for x in out]), pa.array([sha(x[2]) for x in out])]
+                    names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if full:
+                        cols += [pa.array([x[1] for x in out]), pa.array([x[2] for x in out])]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = df.schema[key].dataType.simpleString()
     more = ", ids string, decoded string" if full else ""

@@ -41,7 +41,7 @@ def test_pipeline(spark, tmp_path):
     copies = [r["doc_id"] for r in mixed]
     assert set(copies) <= kept and max(copies.count(i) for i in copies) <= 3
     assert abs(sum(len(words_of(r["text"])) for r in mixed) - sum(len(words_of(r["text"])) for r in near)) <= 6 * max(len(words_of(r["text"])) for r in near)
-    t = bpe.load(token_file.tokenizer_path())[0]
+    t = bpe.load(token_file.tokenizer_path())
     text = {r["doc_id"]: r["text"] for r in mixed}
     assert sorted(r["doc_id"] for r in out) == sorted(copies)
     for r in out:

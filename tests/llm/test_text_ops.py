@@ -54,7 +54,7 @@ def docs(spark):
 
 
 def test_encoders_agree_with_the_library():
-    t = bpe.load(PATH)[0]
+    t = bpe.load(PATH)
     rng = random.Random(1)
     letters = " \n\tab'sStT.<|>é́Σ1²"
     texts = [x or "" for _, x, *_ in corpus()] + ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(300))) for _ in range(500)]
@@ -73,8 +73,41 @@ def test_other_tokenizer_goes_to_the_library():
     assert bpe.ChunkEncoder(path).encode([ODD[3]])[0] == (len(ids), " ".join(map(str, ids)), e.tok.decode(ids, skip_special_tokens=False))
 
 
+def test_chunks_are_encoded_once():
+    rng = random.Random(8)
+    distinct = [prose(rng, 400) for _ in range(40)]
+    texts = [rng.choice(distinct) for _ in range(1000)]
+    e = bpe.ChunkEncoder(PATH)
+    got = e.encode(texts)
+    want = {t: x.ids for t, x in zip(distinct, e.tok.encode_batch(distinct, add_special_tokens=False), strict=True)}
+    assert [x[1] for x in got] == [" ".join(map(str, want[t])) for t in texts]
+    assert e.encoded <= sum(map(len, distinct)) and e.grown == 0
+    before = e.encoded
+    e.encode([f"{t} and something else" for t in distinct])  # all but the last chunk of each is known
+    assert e.encoded - before < 0.5 * sum(map(len, distinct))
+    e.forget()
+    assert not e.chunks.map and not e.joins.map and e.words.cache.held <= bpe.REST_BYTES
+
+
+def test_joins_are_repaired_by_growing_windows(tmp_path):
+    """Plain merges, in which a run of one letter is cut by its length: chunks get its start wrong."""
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(4)
+    merges = [("a", "a"), ("aa", "aa"), ("aaaa", "aaaa"), ("b", "c"), ("bc", "bc"), ("c", "b"), ("a", "b"), ("ab", "cb"), ("c", " "), ("d", "aa")]
+    names = ["a", "b", "c", "d", " ", "é", *("".join(m) for m in merges)]
+    path = str(tmp_path / "plain.json")
+    Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(dict.fromkeys(names))}, merges=merges)).save(path)
+    e = bpe.ChunkEncoder(path, mean=16)
+    texts = ["".join(rng.choice(["a" * rng.randrange(1, 40), "bc", "cb", "b", "c", " ", "d", "é"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["", "a" * 1000, "unknown letters: xyz" * 9]
+    assert e.kind == "pure"
+    assert [x[1] for x in e.encode(texts)] == [" ".join(map(str, e.tok.encode(t, add_special_tokens=False).ids)) for t in texts]
+    assert e.grown > 0
+
+
 def test_codec(spark, docs):
-    t = bpe.load(PATH)[0]
+    t = bpe.load(PATH)
     for r in codec.encode(docs, PATH).join(docs.dropDuplicates(), "doc_id").collect():
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids)
@@ -106,16 +139,17 @@ def test_shard(tmp_path):
 
 
 def test_token_files(spark, docs, tmp_path):
-    t = bpe.load(PATH)[0]
-    one = docs.dropDuplicates(["doc_id"])
+    t = bpe.load(PATH)
     folder = "file://" + str(tmp_path / "t")
-    got = {r["doc_id"]: r for r in token_file.read_tokens(token_file.write_tokens(one, folder, PATH), folder).collect()}
-    at = 0
-    for r in one.orderBy("doc_id").collect():
-        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
-        g = got[r["doc_id"]]
-        assert (g["start"], g["n_tokens"], g["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    odd = spark.createDataFrame([(None, "no id"), (None, "none either"), (3, "another text with id 3"), (-(1 << 63), "the smallest long"), (-5, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text", F.lit("x").alias("ids"), F.lit(1).alias("k")).unionByName(odd, allowMissingColumns=True)
+    got = token_file.read_tokens(token_file.write_tokens(rows, folder, PATH), folder).orderBy("start").collect()
+    want = [(r["doc_id"], np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")) for r in rows.collect()]
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(
+        (i is not None, i or 0, len(x), zlib.crc32(x.tobytes())) for i, x in want)
+    keys = [r["doc_id"] for r in got]
+    assert keys == [None, None, *sorted(k for k in keys if k is not None)]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
     empty = token_file.write_tokens(docs.limit(0), folder + "-e", PATH)
     assert token_file.read_tokens(empty, folder + "-e").count() == 0
 
