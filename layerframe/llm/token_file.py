@@ -5,7 +5,8 @@ Layout of a shard (little-endian)::
     "LFTOK01\\n"                               8 bytes
     payload: blocks of BLOCK ids, each packed by itself at `bits` bits an id, low bits first, padded to a byte
     footer:  block offsets   u64 x (blocks + 1)   byte places in the file; the last is the end of the payload
-             document ids    i64 x documents
+             document ids    i64 x documents       0 where the id is null
+             null ids        u8 x documents        1 where the id is null
              token starts    u64 x (documents + 1)  within the shard
     trailer: u64 x 6: bits, block size, ids, documents, blocks, byte place of the footer
 
@@ -81,7 +82,7 @@ class ShardWriter:
         self.bits, self.block, self.place = bits, block, len(MAGIC)
         self.offsets, self.docs, self.starts, self.wait, self.waiting, self.n = [], [], [0], [], 0, 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.n += len(ids)
         self.starts.append(self.n)
@@ -103,7 +104,7 @@ class ShardWriter:
     def close(self) -> None:
         if self.waiting:
             self._block(np.concatenate(self.wait))
-        footer = np.array([*self.offsets, self.place], "<u8").tobytes() + np.array(self.docs, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes()
+        footer = np.array([*self.offsets, self.place], "<u8").tobytes() + np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.array([d is None for d in self.docs], "u1").tobytes() + np.array(self.starts, "<u8").tobytes()
         trailer = np.array([self.bits, self.block, self.n, len(self.docs), len(self.offsets), self.place], "<u8").tobytes()
         self.out.write(footer + trailer)
         self.out.close()
@@ -125,7 +126,8 @@ class Shard:
         a = 8 * (blocks + 1)
         self.offsets = np.frombuffer(raw[:a], "<u8").astype(np.int64)
         self.docs = np.frombuffer(raw[a : a + 8 * docs], "<i8")
-        self.starts = np.frombuffer(raw[a + 8 * docs :], "<u8").astype(np.int64)
+        self.null = np.frombuffer(raw[a + 8 * docs : a + 9 * docs], "u1").astype(bool)
+        self.starts = np.frombuffer(raw[a + 9 * docs :], "<u8").astype(np.int64)
         self._at, self._ids = -1, np.empty(0, "<u4")
 
     def _load(self, k: int) -> np.ndarray:
@@ -159,41 +161,38 @@ MANIFEST = "shard long, name string, n_docs long, n_tokens long"
 def write_tokens(df: DataFrame, folder: str, tokenizer: str, end: int | None = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every whole text and writes shards in ascending order of key. Returns the manifest, one row per shard.
 
-    A null text is empty. Equal keys lie side by side in the order of their texts; null keys are written as the smallest
-    long, first. An empty table has no shards. Texts of any length are encoded whole; a shard holds one block at a time.
+    A null text is empty. Null keys come first and stay null. Equal keys lie side by side in an order that their texts fix; a key
+    with many rows (or none with many) is dealt out by the texts' hashes. An empty table has no shards. Texts of any length are
+    encoded whole; a shard's writer holds one block at a time. Other columns are left out. What is shuffled are texts:
+    compressed, ids of two bytes came to 0.96 x input on the check tables and texts to 1.10, and ids would have to be written first.
     """
     vocabulary = max(bpe.vocabulary(tokenizer), (end or 0) + 1)
     bits = bits_for(vocabulary)
-    lowest = -(1 << 63)
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, out = bpe.piece_encoder(tokenizer), TaskContext.get().partitionId(), None
+        shard, out = TaskContext.get().partitionId(), None
         name = f"shard-{shard:08d}.tok"
-        tail = np.array([] if end is None else [end], encoder.dtype)
-        if vocabulary > 1 << 16:
-            tail = tail.astype("<u4")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = out or ShardWriter(folder, name, bits)
-            keys = batch.column(0).to_pylist()
-            at = 0
-            for part in bpe.parts(batch.column(1).to_pylist()):
-                for raw in encoder.encode(part):
-                    out.add(keys[at], np.concatenate([np.frombuffer(raw, encoder.dtype), tail]))
-                    at += 1
+        with bpe.at_rest(bpe.piece_encoder(tokenizer)) as encoder:
+            tail = np.array([] if end is None else [end], encoder.dtype if vocabulary <= 1 << 16 else "<u4")
+            for batch in batches:
+                if batch.num_rows:
+                    out = out or ShardWriter(folder, name, bits)
+                keys = batch.column(0).to_pylist()
+                for at, part in bpe.slices(batch.column(1)):
+                    for i, raw in enumerate(encoder.encode(part), at):
+                        out.add(keys[i], np.concatenate([np.frombuffer(raw, encoder.dtype), tail]))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(out.docs)], "n_tokens": [out.n]})
 
-    scratch = Scratch(df.sparkSession, "token-manifest")
-    return scratch.save(rows.mapInArrow(write, MANIFEST))
+    return Scratch(df.sparkSession, "token-manifest").save(rows.mapInArrow(write, MANIFEST))
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files."""
+    """doc_id (null as written), start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     n = max(1, manifest.count())
@@ -209,7 +208,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         crc = zlib.crc32(np.ascontiguousarray(run, "<u4"), crc)
                     crcs.append(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.docs, pa.int64()), pa.array(shard.starts[:-1] + row["base"], pa.int64()),
+                    [pa.array(shard.docs, pa.int64(), mask=shard.null), pa.array(shard.starts[:-1] + row["base"], pa.int64()),
                      pa.array(np.diff(shard.starts), pa.int64()), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 shard.close()
