@@ -1,19 +1,30 @@
 """Exact top-k search by BM25: an inverted index per shard, block-max WAND pruning, an exact merge.
 
-Every input partition becomes a shard, or several of MOST_POSTINGS postings: files in the shared folder with its sorted term hashes, postings (place of the
-document, tf) and document lengths. Global statistics (number of documents, mean length, document frequency of the
-queries' terms) are summed over the shards first, so scores of different shards compare. Queries are written in files; a
-task takes a file of queries through the shards, one after the other, and returns the best k for each query.
-
-Within a shard documents lie in blocks of BLOCK, ordered by their most frequent common term and their length, so that a block's
-documents are alike. For each term and block the largest impact is known. A query adds these up to a bound per block, scores the blocks with the best bounds, and takes the k-th best score so far, here or in the shards before, as its threshold; blocks
-whose bound does not reach it are skipped whole, the others are scored in full, so results are exact. A term is a
-64-bit hash of a lower-cased word.
+Every input partition becomes a shard, or several of at most MOST_POSTINGS postings and MOST_DOCS documents: files in the
+shared folder. Global statistics (number of documents, mean length, document frequency of the queries' terms) are summed
+over the shards first, so scores of different shards compare. Queries are written in files; a task takes a file of
+queries through a group of shards, one after the other, carries each query's threshold along, and returns its best k.
+
+A shard's lists are split as WAND's pivot splits them, once for all queries: the HEAVY most frequent terms have long lists and low
+impacts (non-essential lists), all others are light (essential lists). Documents lie in blocks of BLOCK neighbours that are
+alike, and every heavy list has its largest impact per block. For a batch of queries
+
+1. cursors run over the light lists and add up the light part of each document's score;
+2. a block is live for a query if the best light part in it plus the summed block maxima of the query's heavy terms reaches the
+   query's threshold, its k-th best score so far, here or in shards before;
+3. windows of blocks are visited in the order of documents. A window without a live block is skipped, and no heavy list is read
+   there. In the others the heavy parts are added, and the threshold rises before the next window is looked at.
+
+Bounds and heavy parts are 32-bit products with a proven margin; whatever can still be among the best k is scored again in
+64 bits, so results are exact. Documents of a shard with the same words and counts are held once, with their ids: they tie.
+Impacts need the mean length of the whole table, so a shard's impacts and maxima are computed when a task loads it, once for a
+file of up to QUERIES_PER_FILE queries. A term is a 64-bit hash of a lower-cased word.
 
 Defined results: score = sum over the query's distinct terms of qtf * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len / mean)),
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)), rounded to 6 places; ties go to the smaller id; only documents that share a term are
 returned, the query itself among them; queries without words and null texts return nothing; repeated rows are each a document; rows of queries with
-one id make one query, with each term as often as in the row that has it most; a null id is neither query nor result; empty tables give empty tables.
+one id make one query, with each term as often as in the row that has it most; a null id is neither query nor result (it counts in no statistic);
+other columns are left out, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -32,13 +43,17 @@ from . import bpe, token_file, wordhash
 from .common import Scratch, shared_dir
 
 K1, B, K = 1.2, 0.75, 10
-BLOCK = 64
-#: Most queries of a file.
-QUERIES_PER_FILE = 8192
-MOST_POSTINGS = 8_000_000
-#: Most shards of a unit of work.
-SHARDS = 2048
+HEAVY, BLOCK, WINDOW = 512, 16, 256
+MOST_POSTINGS, MOST_DOCS = 4_000_000, 32_768
+#: Most queries, about, of a file, and terms of their texts.
+QUERIES_PER_FILE, TERMS_PER_FILE = 2048, 2_000_000
+#: Queries of a batch, and light postings that a batch may meet in a shard.
+BATCH, BATCH_POSTINGS = 64, 2_000_000
+#: Most shards, about, of a unit of work, and units that are tasks of their own.
+SHARDS, TASKS = 2048, 100_000
 EVERY = 50
+#: Of a heavy part: above the error of a 32-bit sum of HEAVY products, HEAVY * 2**-24 in the worst order.
+ERROR = 4e-5
 
 
 def _put(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -64,6 +79,20 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Places at which runs of equal keys start."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All places of the ranges [lo, hi)."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, text index, tf) sorted by text and term, and the length of each text."""
     h, off = wordhash.words(texts, lower=True)
@@ -71,72 +100,112 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     doc = np.repeat(np.arange(len(texts)), n)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
+    at = _firsts(h, doc)
     return h[at], doc[at], np.diff(np.append(at, len(h))), n
 
 
+def copies(t: np.ndarray, d: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each document the first one with the same words and counts (two sums of 64 bits and the length); postings sorted by document."""
+    sums = []
+    start = _firsts(d)
+    for salt in (0, 0xA5A5A5A5A5A5A5A5):
+        s = np.zeros(len(size), np.uint64)
+        if len(start):
+            s[d[start]] = np.add.reduceat(wordhash.mix(t ^ np.uint64(salt)) * tf.astype(np.uint64), start)
+        sums.append(s)
+    order = np.lexsort((np.arange(len(size)), size, *sums))
+    start = _firsts(sums[0][order], sums[1][order], size[order])
+    first = np.empty(len(size), np.int64)
+    first[order] = np.repeat(order[start], np.diff(np.append(start, len(order))))
+    return first
+
+
 def alike(t: np.ndarray, d: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """An order in which neighbours are alike, so that blocks have tight bounds: by the most frequent common term, then by length."""
-    new = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.empty(0, bool)
-    term = np.cumsum(new) - 1
-    common = (np.bincount(term) > 0.02 * len(size))[term] if len(t) else new
-    c, w = d[common], tf[common]
+    """An order in which neighbours are alike, so that blocks have tight bounds: by the most frequent common term, then by length.
+    Postings are sorted by term."""
+    start = _firsts(t)
+    n = np.diff(np.append(start, len(t)))
+    common = np.repeat(n > 0.02 * len(size), n)
+    c, w, term = d[common], tf[common], np.repeat(np.arange(len(n)), n)[common]
     order = np.lexsort((w, c))
     last = np.append(c[order][1:] != c[order][:-1], True)[: len(order)]
     top = np.full(len(size), -1)
-    top[c[order][last]] = term[common][order][last]
+    top[c[order][last]] = term[order][last]
     return np.lexsort((size, top))
 
 
+def shard_of(t: np.ndarray, d: np.ndarray, tf: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays of a shard, its terms and their document frequencies. Postings are sorted by document; documents without words are left out."""
+    first = copies(t, d, tf, size)
+    rep = np.flatnonzero((first == np.arange(len(size))) & (size > 0))
+    number = np.full(len(size), -1)
+    number[rep] = np.arange(len(rep))
+    times = np.bincount(number[first[size > 0]], minlength=len(rep))
+    keep = number[d] >= 0
+    t, d, tf, lens = t[keep], number[d[keep]], tf[keep], size[rep]
+    order = np.argsort(t, kind="stable").astype(np.int32)
+    t, d, tf = t[order], d[order], tf[order]
+    place = alike(t, d, tf, lens)
+    back = np.empty(len(rep), np.int64)
+    back[place] = np.arange(len(rep))
+    d, lens = back[d], lens[place]
+    order = np.lexsort((d, t)).astype(np.int32)
+    t, d, tf = t[order], d[order], tf[order]
+    start = _firsts(t)
+    ptr = np.append(start, len(t))
+    n = np.diff(ptr)
+    df = np.add.reduceat(times[place][d], start) if len(start) else n
+    # the HEAVY longest lists, as far as they meet one block of documents in four
+    heavy = np.zeros(len(n), bool)
+    heavy[np.argsort(-n, kind="stable")[:HEAVY]] = True
+    heavy &= n >= max(2, len(rep) // (4 * BLOCK))
+    of = np.repeat(heavy, n)
+    whole = size > 0  # ids, group by group in the order of the documents, smallest first
+    group = back[number[first[whole]]]
+    order = np.lexsort((ids[whole], group))
+    arrays = {
+        "terms": t[start[~heavy]], "ptr": small(np.append(0, np.cumsum(n[~heavy]))), "docs": small(d[~of]), "tf": small(tf[~of]),
+        "heavy": t[start[heavy]], "hterm": small(np.repeat(np.arange(int(heavy.sum())), n[heavy])), "hdocs": small(d[of]), "htf": small(tf[of]),
+        "lens": small(lens), "ids": ids[whole][order], "iptr": small(np.append(0, np.cumsum(np.bincount(group, minlength=len(rep)))))}
+    return arrays, t[start], df
+
+
 def build(df: DataFrame, folder: str, key: str, text: str) -> DataFrame:
-    """Writes the shards of each partition, one or more; returns (name, docs, words, terms array<long>, df array<long>), a row per shard and slice of terms."""
+    """Writes the shards of each partition, one or more; returns (name, number, docs, words, terms array<long>, df array<long>), a row per shard and slice of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, postings, part = [], 0, 0, 0
+        held, n, postings, part, task = [], 0, 0, 0, TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal n, postings, part
-            t, d, tf, size, ids = (np.concatenate([h[i] for h in held]) for i in range(5))
+            columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
             held.clear()
-            order = np.argsort(t, kind="stable").astype(np.int32)
-            t, d, tf = t[order], d[order], tf[order]
-            place = alike(t, d, tf, size)
-            size, ids = size[place], ids[place]
-            back = np.empty(n, np.int32)
-            back[place] = np.arange(n, dtype=np.int32)
-            d = back[d]
-            order = np.lexsort((d, t)).astype(np.int32)
-            t, d, tf = t[order], small(d)[order], small(tf)[order]
-            del order
-            name = f"shard-{TaskContext.get().partitionId():08d}-{part:04d}.npz"
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
-            ptr = np.append(first, len(t))
-            _put(folder, name, {"terms": t[first], "ptr": small(ptr), "docs": small(d), "tf": small(tf), "lens": small(size), "ids": ids})
-            own, count = t[first].view(np.int64), np.diff(ptr)
+            name, words = f"shard-{task:08d}-{part:04d}.npz", int(columns[3].sum())
+            arrays, terms, df = shard_of(*columns)
+            _put(folder, name, arrays)
+            own = terms.view(np.int64)
             for i in range(0, max(1, len(own)), 100_000):
                 yield pa.RecordBatch.from_pydict({
-                    "name": [name], "docs": [n if i == 0 else 0], "words": [int(size.sum()) if i == 0 else 0],
-                    "terms": [own[i : i + 100_000]], "df": [count[i : i + 100_000].astype(np.int64)]})
+                    "name": [name], "number": [task + part], "docs": [n if i == 0 else 0], "words": [words if i == 0 else 0],
+                    "terms": [own[i : i + 100_000]], "df": [df[i : i + 100_000].astype(np.int64)]})
             n, postings, part = 0, 0, part + 1
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            at = 0
-            for texts in bpe.parts(batch.column(1).to_pylist()):
-                t, d, tf, size = term_counts(texts)
-                held.append((t, (d + n).astype(np.int32), tf.astype(np.int32), size, keys[at : at + len(texts)].astype(np.int64)))
-                at += len(texts)
-                n += len(texts)
-                postings += len(t)
-                if postings >= MOST_POSTINGS:  # a partition of any size becomes shards that fit into memory
-                    yield from flush()
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, texts in bpe.slices(batch.column(1)):
+                for lo in range(0, len(texts), 4096):
+                    some = texts[lo : lo + 4096]
+                    t, d, tf, size = term_counts(some)
+                    held.append((t, d + n, tf.astype(np.int32), size, keys[at + lo : at + lo + len(some)]))
+                    n += len(some)
+                    postings += len(t)
+                    if postings >= MOST_POSTINGS or n > MOST_DOCS - 4096:  # a partition of any size becomes shards that fit into memory
+                        yield from flush()
         if n:
             yield from flush()
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k IS NOT NULL")
-    return rows.mapInArrow(run, "name string, docs long, words long, terms array<long>, df array<long>")
+    return rows.mapInArrow(run, "name string, number long, docs long, words long, terms array<long>, df array<long>")
 
 
 def query_terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,79 +213,125 @@ def query_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, at = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for part in bpe.parts(batch.column(1).to_pylist()):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, part in bpe.slices(batch.column(1)):
                 t, d, tf, _ = term_counts(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at + d], pa.int64()), pa.array(t.view(np.int64)), pa.array(tf, pa.int64())], names=["q", "term", "qtf"])
-                at += len(part)
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k IS NOT NULL")
     return rows.mapInArrow(run, "q long, term long, qtf long")
 
 
+def _place(table: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which terms are in the sorted table, their places)."""
+    at = np.searchsorted(table, terms)
+    hit = np.flatnonzero(table[np.minimum(at, len(table) - 1)] == terms) if len(table) else np.empty(0, np.int64)
+    return hit, at[hit]
+
+
 class ShardIndex:
-    """A shard in memory, with impacts from the global statistics and the largest impact per term and block."""
-
-    def __init__(self, folder: str, name: str, mean: float, size: int):
-        z = _get(folder, name)
-        self.terms, self.ids, ptr = z["terms"], z["ids"], z["ptr"]
-        self.docs, tf = z["docs"].astype(np.int64), z["tf"].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * z["lens"] / mean))[self.docs])
-        block = self.docs // size
-        new = np.ones(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[ptr[:-1].astype(np.int64)] = True
-        start = np.flatnonzero(new)
-        self.size, self.n, self.blocks = size, len(self.ids), -(-len(self.ids) // size)
-        self.block, self.bstart = block[start], np.append(start, len(block))  # a term's postings in one block lie side by side
-        self.bmax = np.maximum.reduceat(self.impact, start) if len(start) else np.empty(0)
-        self.bptr = np.searchsorted(start, ptr)
+    """A shard in memory, with impacts from the global statistics and the largest impact per heavy term and block."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], mean: float):
+        z = arrays
+        self.terms, self.heavy, self.ids = z["terms"], z["heavy"], z["ids"]
+        self.ptr, self.iptr = z["ptr"].astype(np.int64), z["iptr"].astype(np.int64)
+        self.n = len(z["lens"])
+        self.blocks = -(-self.n // BLOCK)
+        self.norm = K1 * (1 - B + B * z["lens"] / mean)
+        self.docs = z["docs"].astype(np.int64)
+        self.impact = self._impact(z["tf"].astype(np.float64), self.norm[self.docs])
+        self.htf = np.zeros((self.n, len(self.heavy)), z["htf"].dtype)
+        self.htf[z["hdocs"], z["hterm"]] = z["htf"]
+        self.himpact = np.zeros((self.blocks * BLOCK, len(self.heavy)), np.float32)
+        self.himpact[z["hdocs"], z["hterm"]] = self._impact(z["htf"].astype(np.float64), self.norm[z["hdocs"]])
+        self.hmax = self.himpact.reshape(self.blocks, BLOCK, len(self.heavy)).max(1) if self.n else self.himpact
+        self.scored = self.seen = 0  # documents whose heavy lists were read, and all, over the queries
 
     @staticmethod
-    def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """All places of the ranges [lo, hi)."""
-        n = hi - lo
-        return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, rounded scores) of the shard's best k for a query, as far as they reach the floor: the k-th best score of other shards."""
-        at = np.searchsorted(self.terms, terms)
-        hit = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
-        at, w = at[hit], weights[hit]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        # bound of every block
-        b0, b1 = self.bptr[at], self.bptr[at + 1]
-        runs = self._spread(b0, b1)
-        rw, rb = np.repeat(w, b1 - b0), self.block[runs]
-        bound = np.bincount(rb, self.bmax[runs] * rw, self.blocks)
-        score, todo = np.zeros(self.n), (bound >= floor - 1e-5) & (bound > 0)
-        if 4 * np.count_nonzero(todo) > self.blocks:
-            # many blocks may hold a result: the ones with the best bounds give a better threshold first
-            few = max(2, -(-2 * k // self.size))
-            lead = np.zeros(self.blocks, bool)
-            lead[np.argpartition(-bound, min(few, self.blocks) - 1)[:few]] = True
-            self._score(runs, rw, lead[rb], score)
-            best = np.round(score[score > 0], 6)
-            if len(best) >= k:
-                floor = max(floor, np.partition(best, len(best) - k)[len(best) - k])
-            todo &= (bound >= floor - 1e-5) & ~lead
-        if todo.any():
-            self._score(runs, rw, todo[rb], score)
-        score = np.round(score, 6)
-        found = np.flatnonzero((score > 0) & (score >= floor))
-        if len(found) > k:  # keep all that tie with the k-th
-            edge = np.partition(score[found], len(found) - k)[len(found) - k]
-            found = found[score[found] >= edge]
-        found = found[np.lexsort((self.ids[found], -score[found]))][:k]
-        return self.ids[found], score[found]
-
-    def _score(self, runs: np.ndarray, rw: np.ndarray, on: np.ndarray, score: np.ndarray) -> None:
-        """Adds the impacts of the chosen runs of postings, term by term in one order."""
-        r = runs[on]
-        lo, hi = self.bstart[r], self.bstart[r + 1]
-        p = self._spread(lo, hi)
-        score += np.bincount(self.docs[p], self.impact[p] * np.repeat(rw[on], hi - lo), self.n)
+    def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + norm)
+
+    def batches(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        """Runs of queries that meet a bounded number of light postings (a query alone meets no more than the shard has)."""
+        n = []
+        for terms, _ in queries:
+            _, at = _place(self.terms, terms)
+            n.append(int((self.ptr[at + 1] - self.ptr[at]).sum()))
+        lo = held = 0
+        for i, x in enumerate(n):
+            if i > lo and (i - lo >= BATCH or held + x > BATCH_POSTINGS):
+                yield lo, i
+                lo, held = i, 0
+            held += x
+        if lo < len(n):
+            yield lo, len(n)
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], best: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, rounded scores) of documents that can be among the best k, for each query (terms, weights), at most k of them.
+
+        best: the k best scores of each query so far (0: none yet), sorted in any way; what is found here is not added to it.
+        """
+        if not self.n:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        nq, width = len(queries), self.blocks * BLOCK
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        of = np.repeat(np.arange(nq), [len(t) for t, _ in queries])
+        w = np.zeros((nq, len(self.heavy)))
+        hit, at = _place(self.heavy, terms)
+        w[of[hit], at] = weights[hit]
+        hit, at = _place(self.terms, terms)
+        lo, hi = self.ptr[at], self.ptr[at + 1]
+        p, n = _spread(lo, hi), hi - lo
+        light = np.bincount(np.repeat(of[hit] * width, n) + self.docs[p], self.impact[p] * np.repeat(weights[hit], n), nq * width).astype(np.float64, copy=False).reshape(nq, width)
+        w32 = w.astype(np.float32)
+        slack = ERROR * (K1 + 1) * w.sum(1) + 1e-5
+        bound = light.reshape(nq, self.blocks, BLOCK).max(2) + w32 @ self.hmax.T + slack[:, None]
+        best = best.copy()
+        floor = best.min(1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        times = np.minimum(np.diff(self.iptr), k)
+        step = WINDOW // BLOCK
+        for b in range(0, self.blocks, step):
+            live = bound[:, b : b + step] >= floor[:, None]
+            rows = np.flatnonzero(live.any(1))
+            if not len(rows):
+                continue
+            a, z = b * BLOCK, min(self.n, (b + step) * BLOCK)
+            score = light[rows, a:z] + w32[rows] @ self.himpact[a:z].T
+            self.scored += score.size
+            hit = (score + slack[rows, None] >= floor[rows, None]) & (score > 0)
+            r, c = np.nonzero(hit)
+            if not len(r):
+                continue
+            s = score[r, c]
+            found.append((rows[r], c + a, s))
+            at = _firsts(r)
+            for i, j in zip(at.tolist(), np.append(at[1:], len(r)).tolist(), strict=True):
+                q = rows[r[i]]
+                new = np.concatenate([best[q], np.repeat(s[i:j] - slack[q], times[c[i:j] + a])])
+                best[q] = np.partition(new, len(new) - k)[len(new) - k :]
+                floor[q] = best[q].min()
+        self.seen += nq * self.n
+        out = [(np.empty(0, np.int64), np.empty(0))] * nq
+        if not found:
+            return out
+        q, d, s = (np.concatenate([x[i] for x in found]) for i in range(3))
+        keep = s + slack[q] >= floor[q]
+        order = np.argsort(q[keep], kind="stable")
+        q, d = q[keep][order], d[keep][order]
+        exact = light[q, d]
+        for i in range(0, len(q), 4096):
+            j = slice(i, i + 4096)
+            exact[j] += np.einsum("ij,ij->i", self._impact(self.htf[d[j]].astype(np.float64), self.norm[d[j]][:, None]), w[q[j]])
+        exact = np.round(exact, 6)
+        at = _firsts(q)
+        for i, j in zip(at.tolist(), np.append(at[1:], len(q)).tolist(), strict=True):
+            n = times[d[i:j]]  # of documents that tie with all their copies, the k smallest ids
+            ids, scores = self.ids[_spread(self.iptr[d[i:j]], self.iptr[d[i:j]] + n)], np.repeat(exact[i:j], n)
+            top = np.lexsort((ids, -scores))[:k]
+            out[q[i]] = ids[top], scores[top]
+        return out
 
 
 def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
@@ -225,8 +340,8 @@ def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     scratch = Scratch(spark, "search")
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex[:12]}"
     shards = scratch.save(build(df, folder, key, text))
-    total = shards.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    n, mean = int(total[0]), max(1.0, int(total[1]) / max(1, int(total[0])))
+    total = shards.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.countDistinct("name")).first()
+    n, mean, n_shards = int(total[0]), max(1.0, int(total[1]) / max(1, int(total[0]))), int(total[2])
     freq = shards.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = query_terms(queries, key, text)
@@ -236,72 +351,76 @@ def search(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
         .select("q", F.col("x.term").alias("terms"), F.col("x.w").alias("weights"))
     )
 
-    # Files of queries are units of work: enough of them to keep the cluster busy, and each as large as that allows, since every unit reads
-    # the shards once. A unit carries each query's threshold from shard to shard.
-    n_queries, cores = weighted.count(), spark.sparkContext.defaultParallelism
-    per_file = max(1, min(QUERIES_PER_FILE, -(-n_queries // cores)))
-    n_files = max(1, -(-n_queries // per_file))
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, part, task = [], 0, TaskContext.get().partitionId()
-
-        def write() -> pa.RecordBatch:
-            nonlocal part
-            name = f"queries-{task:08d}-{part:06d}.npz"
-            part += 1
-            terms, weights = [np.array(r["terms"], np.int64) for r in rows], [np.array(r["weights"]) for r in rows]
-            last = [np.append(t[1:] != t[:-1], True) for t in terms]  # of equal terms the one with the largest weight
-            terms, weights = [t[x] for t, x in zip(terms, last, strict=True)], [w[x] for w, x in zip(weights, last, strict=True)]
-            _put(folder, name, {
-                "q": np.array([r["q"] for r in rows]), "ptr": np.cumsum([0, *map(len, terms)]),
-                "terms": np.concatenate(terms).view(np.uint64), "weights": np.concatenate(weights)})
-            rows.clear()
-            return pa.RecordBatch.from_pydict({"block": [name]})
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows.append(row)
-                if len(rows) == per_file:
-                    yield write()
-        if rows:
-            yield write()
-
-    blocks = scratch.save(weighted.repartition(n_files).mapInArrow(put, "block string"))
-    names, size = shards.select("name").distinct(), BLOCK
-    count = names.count()
-    # shards are divided only where queries are too few to keep the cluster busy, or shards too many for one task; only names of files are paired
-    groups = max(1, min(count, max(-(-cores // n_files), -(-count // SHARDS))))
-    nth = F.row_number().over(Window.orderBy("name"))  # a row per file
-    sets = names.withColumn("g", nth % groups).groupBy("g").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    units = scratch.save(sets.join(blocks, how="cross").select("names", "block"))
+    # A unit of work is a file of queries and a group of shards, both known by their numbers: files as large as memory allows, since every
+    # unit reads its shards once, and as many groups as keep the cluster busy.
+    asked = weighted.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    n_files = max(1, -(-asked[0] // QUERIES_PER_FILE), -(-asked[1] // TERMS_PER_FILE))
+    groups = max(1, min(n_shards, max(-(-2 * spark.sparkContext.defaultParallelism // n_files), -(-n_shards // SHARDS))))
+
+    def put(kind: str, arrays):
+        """Writes a file per number n of the rows (n, ...), which lie side by side; returns the numbers."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, now, done = [], None, []
+
+            def write() -> None:
+                if rows:
+                    _put(folder, f"{kind}-{now:08d}.npz", arrays(rows))
+                    done.append(now)
+                rows.clear()
+
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["n"] != now:
+                        write()
+                        now = row["n"]
+                    rows.append(row)
+            write()
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["n"])
+
+        return run
+
+    def query_file(rows: list[dict]) -> dict[str, np.ndarray]:
+        terms, weights = [np.array(r["terms"], np.int64) for r in rows], [np.array(r["weights"]) for r in rows]
+        last = [np.append(t[1:] != t[:-1], True) for t in terms]  # of equal terms the one with the largest weight
+        terms, weights = [t[x].view(np.uint64) for t, x in zip(terms, last, strict=True)], [w[x] for w, x in zip(weights, last, strict=True)]
+        return {"q": np.array([r["q"] for r in rows]), "ptr": np.cumsum([0, *map(len, terms)]), "terms": np.concatenate(terms), "weights": np.concatenate(weights)}
+
+    dealt = weighted.withColumn("n", F.pmod(F.xxhash64("q"), F.lit(n_files)))
+    scratch.save(dealt.repartition(n_files, "n").sortWithinPartitions("n").mapInArrow(put("queries", query_file), "n long"))
+    named = shards.select("name", (F.col("number") % groups).alias("n")).distinct()
+    scratch.save(named.repartition(groups, "n").sortWithinPartitions("n", "name").mapInArrow(put("group", lambda rows: {"names": np.array([r["name"] for r in rows])}), "n long"))
+
+    def held(name: str) -> dict[str, np.ndarray]:
+        try:
+            return _get(folder, name)
+        except FileNotFoundError:  # no row had this number
+            return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for unit in batch.to_pylist():
-                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-                z = _get(folder, unit["block"])
-                queries = []
-                for q, a, b in zip(z["q"].tolist(), z["ptr"][:-1], z["ptr"][1:], strict=True):
-                    order = np.argsort(z["terms"][a:b], kind="stable")
-                    queries.append((q, z["terms"][a:b][order], z["weights"][a:b][order]))
-                for name in unit["names"]:
-                    index = None  # one shard in memory at a time
-                    index = ShardIndex(folder, name, mean, size)
-                    for q, terms, weights in queries:
-                        ids, scores = best.get(q, (np.empty(0, np.int64), np.empty(0)))
-                        floor = float(scores[-1]) if len(scores) == k else 0.0
-                        got, s = index.top(terms, weights, k, floor)
-                        if len(got):
-                            ids, scores = np.concatenate([ids, got]), np.concatenate([scores, s])
+        for unit in (u for batch in batches for u in batch.column(0).to_pylist()):
+            z, names = held(f"queries-{unit // groups:08d}.npz"), held(f"group-{unit % groups:08d}.npz")
+            if not z or not names:
+                continue
+            queries = [(z["terms"][a:b], z["weights"][a:b]) for a, b in zip(z["ptr"][:-1].tolist(), z["ptr"][1:].tolist(), strict=True)]
+            best, kept = np.zeros((len(queries), k)), [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+            for name in names["names"].tolist():
+                index = None  # one shard in memory at a time
+                index = ShardIndex(_get(folder, name), mean)
+                for lo, hi in index.batches(queries):
+                    for i, (ids, scores) in enumerate(index.top(queries[lo:hi], best[lo:hi], k), lo):
+                        if len(ids):
+                            ids, scores = np.concatenate([kept[i][0], ids]), np.concatenate([kept[i][1], scores])
                             top = np.lexsort((ids, -scores))[:k]
-                            best[q] = ids[top], scores[top]
-                if best:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(list(best), [len(x) for x, _ in best.values()])), pa.array(np.concatenate([x for x, _ in best.values()])), pa.array(np.concatenate([x for _, x in best.values()]))],
-                        names=["query_id", "doc_id", "score"])
-
-    hits = units.repartition(max(1, units.count())).mapInArrow(run, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+                            kept[i] = ids[top], scores[top]
+                            best[i, : len(top)] = scores[top]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(z["q"], [len(x) for x, _ in kept]), pa.int64()), pa.array(np.concatenate([x for x, _ in kept])), pa.array(np.concatenate([x for _, x in kept]))],
+                names=["query_id", "doc_id", "score"])
+
+    units = spark.range(0, n_files * groups, 1, min(n_files * groups, TASKS))
+    hits = units.mapInArrow(run, "query_id long, doc_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")  # at most k rows for each group of shards
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 

@@ -363,30 +363,82 @@ def test_url_filter_sql(spark):
     assert sorted(tuple(r) for r in url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()) == sorted(want)
 
 
-@pytest.mark.parametrize(("block", "postings"), [(4, 8_000_000), (64, 100)])
-def test_search(spark, docs, block, postings, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", block)
+def brute_search(rows, queries, k):
+    """[(doc_id, score)] for each query id. rows: (doc_id, text); queries: the same, one text an id."""
+    counts = [(i, collections.Counter(words_of((t or "").lower()))) for i, t in rows if i is not None]
+    n = len(counts)
+    mean = max(1.0, sum(sum(c.values()) for _, c in counts) / max(1, n))
+    df = collections.Counter(t for _, c in counts for t in c)
+    out = {}
+    for q, text in queries:
+        asked = collections.Counter(words_of((text or "").lower()))
+        scores = []
+        for d, c in counts:
+            s = sum(qtf * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, qtf in asked.items() if t in c)
+            if s > 0:
+                scores.append((d, s))
+        out[q] = sorted(scores, key=lambda x: (-round(x[1], 6), x[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize(("postings", "per_file", "shards"), [(10**6, 2048, 2048), (1500, 8, 3)])
+def test_search(spark, docs, postings, per_file, shards, monkeypatch):
     monkeypatch.setattr(search, "MOST_POSTINGS", postings)
-    one = docs.dropDuplicates(["doc_id"])
+    monkeypatch.setattr(search, "QUERIES_PER_FILE", per_file)
+    monkeypatch.setattr(search, "SHARDS", shards)
+    odd = spark.createDataFrame([(None, "nou aou"), (700, "Aou aou bou"), (701, "aou AOU bou"), (701, "aou bou aou")], "doc_id long, text string")  # ties, a repeated id, a null id
+    some = docs.unionByName(odd, allowMissingColumns=True).withColumns({"score": F.lit(1), "rank": F.lit("x"), "terms": F.lit(2), "q": F.lit(3)})
     got = collections.defaultdict(list)
-    for r in search.search(one.repartition(5), one.where("doc_id % 5 = 0"), k=7).orderBy("rank").collect():
+    for r in search.search(some.repartition(5), some.where("doc_id % 5 = 0 OR doc_id = 701"), k=7).orderBy("rank").collect():
         got[r["query_id"]].append((r["doc_id"], r["score"]))
-    counts = {r["doc_id"]: collections.Counter(words_of((r["text"] or "").lower())) for r in one.collect()}
-    n, mean = len(counts), sum(sum(c.values()) for c in counts.values()) / len(counts)
-    df = collections.Counter(t for c in counts.values() for t in c)
-    for q in [i for i in counts if i % 5 == 0]:
-        scores = {}
-        for d, c in counts.items():
-            s = sum(qtf * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, qtf in counts[q].items() if t in c)
-            if s > 0:
-                scores[d] = s
-        want = sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:7]
-        assert [d for d, _ in got[q]] == [d for d, _ in want]
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-6)
-    assert search.search(one.limit(0), one).count() == 0
-    twice = one.where("doc_id = 3")
-    again = search.search(one, twice.union(twice), k=3).orderBy("rank").collect()
-    assert [tuple(r) for r in again] == [tuple(r) for r in search.search(one, twice, k=3).orderBy("rank").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in some.collect()]
+    want = brute_search(rows, {i: t for i, t in rows if i is not None and (i % 5 == 0 or i == 701)}.items(), 7)
+    for q, hits in want.items():
+        assert [d for d, _ in got[q]] == [d for d, _ in hits]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in hits], abs=2e-6)
+    assert set(got) == {q for q, hits in want.items() if hits}
+    assert search.search(docs.limit(0), docs).count() == 0
+    assert search.search(docs, docs.limit(0)).count() == 0
+    twice = docs.where("doc_id = 4")
+    again = search.search(docs, twice.union(twice), k=3).orderBy("rank").collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in search.search(docs, twice, k=3).orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize(("heavy", "block", "window"), [(512, 16, 256), (8, 2, 4), (0, 4, 8)])
+def test_shards_are_pruned_exactly(heavy, block, window, monkeypatch):
+    """Several shards, one after the other, with thresholds carried along; copies, ties and texts without words."""
+    for name, value in (("HEAVY", heavy), ("BLOCK", block), ("WINDOW", window)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(11)
+    topics = [[f"t{j}w{i}" for i in range(40)] + [f"c{i}" for i in range(12)] for j in range(4)]
+    texts = [" ".join(rng.choice(topics[i % 4]) for _ in range(rng.randrange(1, 60))) for i in range(400)]
+    texts += ["", " "] + texts[:9] * 5
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    asked = [(i, t) for i, t in rows if i % 7 == 0 and t.strip()]
+    want = brute_search(rows, asked, 5)
+    mean = sum(len(words_of(t)) for t in texts) / len(texts)
+    df = collections.Counter(t for _, x in rows for t in set(words_of(x)))
+    idf = {int(wordhash.words([t])[0][0]): np.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    queries = []
+    for _, t in asked:
+        terms, _, tf, _ = search.term_counts([t])
+        queries.append((terms, tf * np.array([idf[int(x)] for x in terms])))
+    best, kept, scored, seen = np.zeros((len(asked), 5)), [[] for _ in asked], 0, 0
+    for lo in range(0, len(rows), 150):
+        part = rows[lo : lo + 150]
+        arrays, terms, n = search.shard_of(*search.term_counts([t for _, t in part]), np.array([i for i, _ in part]))
+        assert n.tolist() == [sum(int(x) in map(int, search.term_counts([t])[0]) for _, t in part) for x in terms]
+        index = search.ShardIndex(arrays, mean)
+        for a, b in index.batches(queries):
+            for q, (ids, scores) in enumerate(index.top(queries[a:b], best[a:b], 5), a):
+                kept[q] = sorted([*kept[q], *zip(ids.tolist(), scores.tolist(), strict=True)], key=lambda x: (-x[1], x[0]))[:5]
+                best[q, : len(kept[q])] = [s for _, s in kept[q]]
+        scored, seen = scored + index.scored, seen + index.seen
+    for (q, _), hits in zip(asked, kept, strict=True):
+        assert [d for d, _ in hits] == [d for d, _ in want[q]]
+        assert [s for _, s in hits] == pytest.approx([s for _, s in want[q]], abs=2e-6)
+    assert scored <= seen and (window != 4 or scored < 0.9 * seen)
 
 
 def test_language_id(spark):
