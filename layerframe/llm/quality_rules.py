@@ -1,8 +1,14 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
-Each rule names the condition under which a document is rejected. On a bounded sample the cascade measures how
-long each rule takes and how much it rejects, and then asks the rules in the order of rejection per cost, so that most
-rejected documents never reach the dear rules. The order changes the cost, never the verdict.
+Each rule names the condition under which a document is rejected, and the work that asking it takes: characters that its
+expressions go through. On a bounded sample the cascade takes both from the same rows and orders the rules greedily: next
+comes the rule with most rejections per work among the rows that still reach it, so most rejected documents never reach the
+dear rules. Work is counted, not timed, so reruns give one order whatever else the machine does. The order changes
+the cost, never the verdict.
+
+`judge` adds the counts that its contract asks for, so these are computed for every document and rules that only compare them
+cost nothing more. `keep` returns the kept rows alone: there every count is computed inside the rule that needs it, and
+only for documents that reach the rule.
 
 Defined results: a null or empty text has no words and fails the base rules; extra columns pass through, those named as a result are replaced,
 and names that start with _rules_ are reserved;
@@ -11,7 +17,7 @@ repeated rows and ties are judged row by row; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,19 +55,27 @@ def repeat_words(words: Column) -> Column:
     return let(let(words, windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(repeated(h)))
 
 
+def dup_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
+
+
+def features(text: Column, words: Column) -> dict[str, Column]:
+    """What rules may look at, as expressions of a text without nulls and its words."""
+    return {
+        "text": text,
+        "n_words": F.size(words).cast("bigint"),
+        "word_chars": F.length(F.regexp_replace(text, WHITE, "")).cast("bigint"),
+        "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint"),
+        "n_dup_lines": dup_lines(text),
+        "n_repeat_words": repeat_words(words),
+    }
+
+
 def base_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the five base counts (long) for every whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = lambda: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    out = df.withColumn("_rules_w", split_words(F.col(text)))
-    return (
-        out.withColumn("n_words", F.size("_rules_w").cast("bigint"))
-        .withColumn("word_chars", F.length(F.regexp_replace(t, WHITE, "")).cast("bigint"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("bigint"))
-        .withColumn("n_dup_lines", let(lines(), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")))
-        .withColumn("n_repeat_words", repeat_words(F.col("_rules_w")))
-        .drop("_rules_w")
-    )
+    made = features(F.coalesce(F.col(text), F.lit("")), F.col("_rules_w"))
+    return df.withColumn("_rules_w", split_words(F.col(text))).withColumns({k: made[k] for k in BASE}).drop("_rules_w")
 
 
 def base_failed() -> Column:
@@ -70,22 +84,46 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects and work get the features by name; done: the names that are finished columns, whose work is paid already."""
+
     name: str
-    rejects: Column
+    rejects: Callable[[dict[str, Column]], Column]
+    work: Callable[[dict[str, Column], frozenset[str]], Column] = lambda f, done: F.lit(1.0)
+
+
+def _scan(f: dict[str, Column], done: frozenset[str], name: str, times: float) -> Column:
+    return F.lit(0.0) if name in done else times * F.length(f["text"])
+
+
+def _once(f: dict[str, Column], name: str, body: Callable[[Column], Column]) -> Column:
+    """body(feature) with the feature computed once."""
+    return body(f[name]) if f.get("finished") else let(f[name], body)
+
+
+#: Characters gone through for each character of the text, about, by what the expression does with it.
+SCAN, CLASSES, SORT = 1.0, 2.0, 6.0
+
 
+def base_rules() -> list[Rule]:
+    return [
+        Rule("few_words", lambda f: f["n_words"] < 50),
+        Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"], lambda f, done: 1 + _scan(f, done, "n_repeat_words", SORT)),
+    ]
 
-def default_rules(text: str = "text") -> list[Rule]:
+
+def default_rules() -> list[Rule]:
     """Lenient document rules beyond the base ones. Each holds for a document of n_words > 0."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    letters = F.length(F.regexp_replace(t, "[^\\p{L}]+", ""))
-    upper = F.length(F.regexp_replace(t, "[^\\p{Lu}]+", ""))
-    n_lines = F.size(F.split(t, "\n"))
+    letters = lambda f: F.length(F.regexp_replace(f["text"], "[^\\p{L}]+", ""))
+    upper = lambda f: F.length(F.regexp_replace(f["text"], "[^\\p{Lu}]+", ""))
+    n_lines = lambda f: F.size(F.split(f["text"], "\n"))
     return [
-        Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
-        Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * n_lines)),
-        Rule("shouting", 10 * upper > 4 * letters),
-        Rule("few_letters", 2 * letters < F.col("word_chars")),
+        Rule("word_length", lambda f: _once(f, "word_chars", lambda c: (c < 2 * f["n_words"]) | (c > 15 * f["n_words"])), lambda f, done: 1 + _scan(f, done, "word_chars", SCAN)),
+        Rule("symbols", lambda f: 10 * f["n_symbols"] > f["n_words"], lambda f, done: 1 + _scan(f, done, "n_symbols", SCAN)),
+        Rule(
+            "repeated_lines", lambda f: _once(f, "n_dup_lines", lambda n: (n >= 3) & (10 * n > 3 * n_lines(f))),
+            lambda f, done: 1 + _scan(f, done, "n_dup_lines", CLASSES) + (F.when(f["n_dup_lines"] >= 3, SCAN * F.length(f["text"])).otherwise(0.0) if "n_dup_lines" in done else 0.0)),
+        Rule("shouting", lambda f: 10 * upper(f) > 4 * letters(f), lambda f, done: 1 + 2 * CLASSES * F.length(f["text"])),
+        Rule("few_letters", lambda f: 2 * letters(f) < f["word_chars"], lambda f, done: 1 + CLASSES * F.length(f["text"]) + _scan(f, done, "word_chars", SCAN)),
     ]
 
 
@@ -94,36 +132,57 @@ def sample_of(df: DataFrame, rows: int) -> DataFrame:
     return df.sample(min(1.0, rows / max(1, df.count())), seed=7)
 
 
-def order_rules(df: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """The rules by rejection per second, both measured on a sample of the table."""
-    scratch = Scratch(df.sparkSession, "rules-sample")
-    sample = scratch.save(df)
-    found = []
-    try:
-        sample.agg(F.count("*")).first()
-        for i, rule in enumerate(rules):
-            began = time.perf_counter()
-            n, bad = sample.agg(F.count("*"), F.coalesce(F.sum(rule.rejects.cast("int")), F.lit(0))).first()
-            cost = time.perf_counter() - began
-            found.append((-(bad / n if n else 0) / cost, i))
-    finally:
-        scratch.drop(sample)
-    return [rules[i] for _, i in sorted(found)]
-
-
-def cascade(df: DataFrame, rules: list[Rule], verdict: str = "kept") -> DataFrame:
-    """Adds verdict: true if no rule rejects the row. CASE stops at the first rule that does."""
+def finished(df: DataFrame, text: str = "text") -> dict:
+    """The features that df has as columns, by name."""
+    return {"text": F.coalesce(F.col(text), F.lit("")), "finished": True} | {k: F.col(k) for k in BASE if k in df.columns}
+
+
+def order_rules(sample: DataFrame, rules: list[Rule], text: str = "text", done: frozenset[str] = frozenset(BASE)) -> list[Rule]:
+    """The rules by rejection per work among the rows that reach them. sample: few rows with finished features; done: those that need no
+    work when the rules are asked. Rows with the same verdicts are summed, so at most one row per set of verdicts reaches the driver."""
+    f = finished(sample, text)
+    masks = F.concat(*[F.when(F.coalesce(r.rejects(f), F.lit(False)), F.lit("1")).otherwise(F.lit("0")) for r in rules])
+    works = [F.sum(F.coalesce(r.work(f, done), F.lit(0)).cast("double")).alias(f"w{i}") for i, r in enumerate(rules)]
+    left = sample.groupBy(masks.alias("mask")).agg(F.count("*").alias("n"), *works).collect()
+    todo, out = list(range(len(rules))), []
+    while todo:
+        def gain(i: int) -> tuple:
+            work = sum(x[f"w{i}"] for x in left)
+            rejected = sum(x["n"] for x in left if x["mask"][i] == "1")
+            return -rejected / max(work, 1e-9), work, rules[i].name
+
+        best = min(todo, key=gain)
+        todo.remove(best)
+        out.append(rules[best])
+        left = [x for x in left if x["mask"][best] == "0"]
+    return out
+
+
+def cascade(rules: list[Rule], f: dict[str, Column]) -> Column:
+    """True if no rule rejects. CASE stops at the first rule that does."""
     out = F.when(F.lit(False), F.lit(True))
     for rule in rules:
-        out = out.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(False))
-    return df.withColumn(verdict, out.otherwise(F.lit(True)))
+        out = out.when(F.coalesce(rule.rejects(f), F.lit(False)), F.lit(False))
+    return out.otherwise(F.lit(True))
+
+
+def _sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
+    return base_features(sample_of(df.select(text), rows), text)
 
 
 def judge(df: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """df with the base counts, base_failed and kept; the base rule is asked first, then the ordered cascade."""
-    feats = base_features(df, text).withColumn("base_failed", base_failed())
-    rules = order_rules(base_features(sample_of(df.select(text), sample_rows), text), default_rules(text))
-    return cascade(feats, [Rule("base", F.col("base_failed")), *rules])
+    """df with the base counts, base_failed and kept; the base rules are asked first, then the ordered cascade."""
+    out = base_features(df, text).withColumn("base_failed", base_failed())
+    rules = order_rules(_sampled(df, text, sample_rows), default_rules(), text)
+    base = Rule("base", lambda f: F.col("base_failed"))
+    return out.withColumn("kept", cascade([base, *rules], finished(out, text)))
+
+
+def keep(df: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """The rows of df that judge keeps, without its counts: all rules, the base ones too, in one cascade."""
+    rules = order_rules(_sampled(df, text, sample_rows), [*base_rules(), *default_rules()], text, frozenset({"n_words"}))
+    t = F.coalesce(F.col(text), F.lit(""))
+    return df.where(let(split_words(F.col(text)), lambda w: cascade(rules, features(t, w))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
