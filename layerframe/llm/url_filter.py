@@ -6,7 +6,7 @@ there is one), connected components over these links are found by distributed ro
 blocks all members without a rule of their own. An explicit allow always wins over what aliases say.
 
 Link targets are references: character references in them are decoded, and they are resolved against the page's url (targets
-of the redirects against their source), with dot segments removed. A base element is not read. ORACLE resolves only targets
+of the redirects against their source), with dot segments removed; a url without a path names the root. A base element is not read. ORACLE resolves only targets
 with ://, // or a leading /, and decodes none.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and has no alias; a null html has no links;
@@ -51,7 +51,8 @@ def path_of(url: Column) -> Column:
 def node_of(url: Column) -> Column:
     """What a url names, whatever its scheme and fragment; null where it names nothing."""
     u = F.coalesce(url, F.lit(""))
-    return F.when(F.instr(u, "://") > 0, F.concat(host_of(u), let(path_of(u), without_dots), F.regexp_extract(u, PARTS, 3)))
+    path = let(path_of(u), lambda p: F.when(p == "", F.lit("/")).otherwise(without_dots(p)))  # no path names the root
+    return F.when(F.instr(u, "://") > 0, F.concat(host_of(u), path, F.regexp_extract(u, PARTS, 3)))
 
 
 def without_dots(path: Column) -> Column:
@@ -181,10 +182,10 @@ t AS (
   SELECT page_id, host, unnest(list_concat(
     list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["''\s>/][^>]*>?'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
     list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["''\s>/][^>]*>?'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS x,
-    host || path || qs AS node, contains(url, '://') AS named FROM p),
+    host || CASE WHEN path = '' THEN '/' ELSE path END || qs AS node, contains(url, '://') AS named FROM p),
 e0 AS (SELECT node AS a, CASE WHEN starts_with(x, '//') THEN 'http:' || x WHEN starts_with(x, '/') THEN 'http://' || host || x ELSE x END AS b FROM t WHERE named AND x <> ''),
 e1 AS (SELECT a, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(b, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 2) || regexp_extract(b, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS b FROM e0 WHERE contains(b, '://')),
+    || coalesce(nullif(regexp_extract(b, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 2), ''), '/') || regexp_extract(b, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS b FROM e0 WHERE contains(b, '://')),
 e AS (SELECT a, b FROM e1 UNION SELECT b, a FROM e1),
 reach(n, m) AS (SELECT a, b FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a),
 nodes AS (SELECT DISTINCT m, regexp_extract(m, '^([^/?]*)([^?]*)', 1) AS host, regexp_extract(m, '^([^/?]*)([^?]*)', 2) AS path FROM reach),
@@ -193,6 +194,6 @@ best AS (
   SELECT page_id, first(h || pre ORDER BY length(h || pre) DESC, action) AS rule, first(action ORDER BY length(h || pre) DESC, action) AS action
   FROM (SELECT DISTINCT page_id, host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, best.rule,
-  coalesce(best.action, CASE WHEN contains(p.url, '://') AND EXISTS (SELECT 1 FROM reach JOIN bad ON reach.m = bad.m WHERE reach.n = p.host || p.path || p.qs) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(best.action, CASE WHEN contains(p.url, '://') AND EXISTS (SELECT 1 FROM reach JOIN bad ON reach.m = bad.m WHERE reach.n = p.host || CASE WHEN p.path = '' THEN '/' ELSE p.path END || p.qs) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id)
 """
