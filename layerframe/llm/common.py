@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is named."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that the application has set.
+
+    In a local session, where one machine does everything, a folder of its own is made if none is named. On a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="layerframe-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -81,12 +87,12 @@ def global_rank(scratch: Scratch, df: DataFrame, keys: list[str], weight: str, r
     return ranked.join(F.broadcast(base), "_pid").withColumn(rank, F.col("_base") + F.col("_in")).drop("_pid", "_base", "_in")
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for the long columns (a, b) of edges; component is the smallest node.
 
     Alternating large-star and small-star rounds. Each is a minimum per node, which is summed before the
     shuffle, and a join on the node, which AQE splits where it is skewed; a hub never meets one task. The edge
-    count never grows, and rounds are logarithmic in the length of a chain. Nodes without an edge to another
+    count never grows, and rounds are logarithmic in the length of a chain; they go on until only stars are left. Nodes without an edge to another
     node are left out; null ends are ignored.
     """
     apart = lambda low: low.hint("rebalance")  # noqa: E731  an exchange of its own, so AQE can split the join on a hub
@@ -94,8 +100,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
-    for _ in range(rounds):
+    while True:
         # large star: all larger neighbours of u go to the smallest node of u's neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -106,14 +111,13 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -
         moved = large.join(apart(low), "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = scratch.save(small.where("u <> v").distinct())
-        now = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        # done when every node that has an edge down has one, and none up: stars that share no node
+        ends = after.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(after.select("v", F.lit(0), F.lit(1)))
+        worst = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).agg(F.max(F.greatest("down", F.col("up") * 2 * F.col("down")))).first()[0]
         scratch.drop(e, large)
         e = after
-        if now == seen:
+        if (worst or 0) <= 1:
             break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -185,28 +186,50 @@ def test_mixing(spark, docs):
     assert mixing.mix(sized.limit(0), "size").count() == 0
 
 
+def brute_rules(text):
+    """(base counts, base_failed, kept) of a text."""
+    text = text or ""
+    w = words_of(text)
+    wins = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        wins[tuple(w[i : i + 3])].append(i)
+    rep = len({i + d for p in wins.values() if len(p) > 1 for i in p for d in range(3)})
+    lines = [x for x in text.split("\n") if words_of(x)]
+    dup, chars, symbols = len(lines) - len(set(lines)), sum(map(len, w)), sum(c in quality_rules.SYMBOLS for c in text)
+    base = len(w) < 50 or 100 * rep > 50 * len(w)
+    letters, upper = sum(unicodedata.category(c)[0] == "L" for c in text), sum(unicodedata.category(c) == "Lu" for c in text)
+    bad = chars < 2 * len(w) or chars > 15 * len(w) or 10 * symbols > len(w) or (dup >= 3 and 10 * dup > 3 * len(text.split("\n"))) or 10 * upper > 4 * letters or 2 * letters < chars
+    return (len(w), chars, symbols, dup, rep), base, not base and not bad
+
+
 def test_quality_rules(spark, docs):
-    clash = docs.withColumn("value", F.lit(1))
-    for r in quality_rules.judge(clash, sample_rows=20).collect():
-        text = r["text"] or ""
-        w = words_of(text)
-        wins = collections.defaultdict(list)
-        for i in range(len(w) - 2):
-            wins[tuple(w[i : i + 3])].append(i)
-        rep = {i + d for p in wins.values() if len(p) > 1 for i in p for d in range(3)}
-        lines = [x for x in text.split("\n") if words_of(x)]
-        assert r["n_words"] == len(w) and r["word_chars"] == sum(map(len, w)) and r["n_repeat_words"] == len(rep)
-        assert r["n_symbols"] == sum(c in quality_rules.SYMBOLS for c in text) and r["n_dup_lines"] == len(lines) - len(set(lines))
-        assert r["base_failed"] == (len(w) < 50 or 100 * len(rep) > 50 * len(w))
-        assert not (r["base_failed"] and r["kept"])
-    assert quality_rules.judge(docs.limit(0)).count() == 0
+    rng = random.Random(6)
+    odd = ["A B c " * 40, "LOUD TEXT " * 30 + prose(rng, 60).upper(), "12 34 " + " ".join(str(rng.random()) for _ in range(80)), "#$ " * 9 + prose(rng, 70), "\n".join(["same line"] * 6 + [prose(rng, 90)]),
+           " ".join("x" * 20 + str(i) for i in range(60)), *ODD]
+    rows = docs.withColumn("value", F.lit(1)).withColumn("n_words", F.lit("clash")).unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"), allowMissingColumns=True)
+    kept = []
+    for r in quality_rules.judge(rows, sample_rows=20).collect():
+        assert (tuple(r[c] for c in quality_rules.BASE), r["base_failed"], r["kept"]) == brute_rules(r["text"])
+        kept += [(r["doc_id"], r["text"])] if r["kept"] else []
+    got = quality_rules.keep(rows, sample_rows=50)
+    assert got.columns == rows.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(kept)
+    assert quality_rules.judge(docs.limit(0)).count() == 0 and quality_rules.keep(docs.limit(0)).count() == 0
 
 
 def test_rule_order(spark):
-    df = spark.range(1000).withColumn("n_words", F.col("id"))
-    rules = [quality_rules.Rule("never", F.col("id") < 0), quality_rules.Rule("half", F.col("id") < 500)]
-    assert [r.name for r in quality_rules.order_rules(df, rules)] == ["half", "never"]
-    assert quality_rules.cascade(df, rules).where("kept").count() == 500
+    df = spark.range(1000).withColumn("text", F.lit("x" * 100)).withColumn("n_words", F.col("id"))
+    rule = lambda name, rejects, work: quality_rules.Rule(name, lambda f: rejects, lambda f, done: F.lit(work))
+    rules = [
+        rule("dear, rejects little", F.col("id") == 999, 900.0), rule("cheap, rejects little", F.col("id") == 998, 1.0), rule("same as half", F.col("id") < 490, 1.5),
+        rule("half", F.col("id") < 500, 1.0), rule("dear", F.col("id").between(500, 899), 50.0)]
+    names = [[r.name for r in quality_rules.order_rules(df.repartition(n), rules)] for n in (1, 3, 3)]
+    assert names[0] == ["half", "dear", "cheap, rejects little", "dear, rejects little", "same as half"] and names[0] == names[1] == names[2]
+    assert df.where(quality_rules.cascade(rules, quality_rules.finished(df))).count() == 98
+    assert df.where(quality_rules.cascade(rules[1:4], quality_rules.finished(df))).count() == 499
+    # rules on finished counts are asked before those that go through the text
+    feats = quality_rules.base_features(spark.createDataFrame([("abc def " * 50,)], "text string"))
+    order = [r.name for r in quality_rules.order_rules(feats, quality_rules.default_rules())]
+    assert order == ["repeated_lines", "symbols", "word_length", "few_letters", "shouting"]
 
 
 def brute_lines(rows, least):
@@ -253,30 +276,40 @@ def grams(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_ngram_join(spark, docs, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
-    rows = corpus()
-    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(docs).collect())
-    sets = [(r[0], grams(r[1])) for r in rows]
+def brute_join(rows):
+    """Sorted (id, class_id, n_links) of (id, text) rows."""
+    sets = [(i, grams(t)) for i, t in rows]
     n = len(sets)
     linked = [[i != j and bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b) for j, (_, b) in enumerate(sets)] for i, (_, a) in enumerate(sets)]
-    root = [s[0] for s in sets]
+    root = list(range(n))
     for _ in range(n):
         root = [min([root[i], *(root[j] for j in range(n) if linked[i][j])]) for i in range(n)]
-    assert got == sorted((sets[i][0], root[i], sum(linked[i])) for i in range(n))
-    assert ngram_join.join(docs.limit(0)).count() == 0
+    names = {r: min([sets[i][0] for i in range(n) if root[i] == r and sets[i][0] is not None], default=None) for r in set(root)}
+    return sorted(((i, names[root[k]], sum(linked[k])) for k, (i, _) in enumerate(sets)), key=str)
 
 
-def test_ngram_join_empty_blocks(spark, monkeypatch):
-    """Few, long texts leave blocks empty; each link is counted once all the same."""
-    monkeypatch.setattr(ngram_join, "BLOCK_CHARS", 600)
-    rows = []
-    for g in range(16):
-        words = [f"g{g:02}w{k:03}" for k in range(100)]
-        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:50], "changed", *words[51:]]))]
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == [(i, i // 2 * 2, 1) for i in range(32)]
+@pytest.mark.parametrize(("block", "grams_a_block"), [(128, 1 << 18), (3, 1 << 18), (128, 150)])
+def test_ngram_join(spark, docs, block, grams_a_block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams_a_block)
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(docs).collect()]
+    assert sorted(got, key=str) == brute_join([(r[0], r[1]) for r in corpus()])
+    if block == 128 and grams_a_block > 150:
+        assert ngram_join.join(docs.limit(0)).count() == 0
+
+
+def test_ngram_join_shared_and_null_ids(spark, monkeypatch):
+    """Ids shared by different texts, and texts with null ids only, lose no link; columns whose names clash do not matter."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
+    word = [[f"g{g}w{k:03}" for k in range(100)] for g in range(4)]
+    text = lambda g, *at: " ".join("changed" if k in at else w for k, w in enumerate(word[g]))
+    rows = [(1, text(0)), (1, text(1)), (2, text(0, 50)), (3, text(1, 50)), (4, text(1, 9)), (None, text(2)), (7, text(2, 3)), (None, text(2, 90)), (None, text(3)), (None, text(3, 5)), (None, text(3)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(5) for c in ("id", "cid", "n", "s1", "tag", "group", "class_id")})
+    out = ngram_join.join(df).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in out), key=str) == brute_join(rows)
+    assert sorted((r["class_id"], r["n_links"]) for r in out if r["doc_id"] == 1) == [(1, 1), (1, 2)]
+    assert len({r["group"] for r in out if r["class_id"] == 1}) == 2
+    assert len({r["group"] for r in out}) == 5
 
 
 def test_bands():
@@ -332,6 +365,16 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_roots_and_hubs(spark):
+    """http://h and http://h/ are one page; many aliases of one blocked page are blocked, but for those that a rule allows."""
+    rows = [(1, "http://free.net", ""), (2, "http://alias.net/x", "<link rel=canonical href='http://free.net/'>"), (3, "http://free.net/?q", ""),
+            (4, "http://free.net/", "<link rel='canonical' href='https://example.org/es/hub'>")]
+    rows += [(100 + i, f"http://a{i}.net/p", "<link rel='canonical' href='https://example.org/es/hub'>") for i in range(300)]
+    rows += [(900, "http://x.org/p", "<link rel='canonical' href='https://example.org/es/hub'>"), (None, "http://a5.net/p#x", None)]
+    got = collections.Counter((r["page_id"] if r["page_id"] in (1, 2, 3, 4, 900) else 0, r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {(1, "block"): 1, (2, "block"): 1, (3, "allow"): 1, (4, "block"): 1, (0, "block"): 301, (900, "allow"): 1}
+
+
 def test_url_filter_relative(spark):
     """Relative targets and encoded ones reach their pages, as urljoin and html.unescape have them."""
     import html
