@@ -5,7 +5,7 @@ columns of documents.
 
 - quality: rows that fail the base rules or the cascade go (op 3).
 - lines: later copies of repeated runs of lines are deleted from the texts; a document of which nothing is left goes (op 8).
-- near: of each group of near-duplicates the smallest id stays (op 5).
+- near: of each group of near-duplicates the smallest id stays, a row without an id only if no other has one (op 5). Texts without words are no group.
 - mix: documents get the words and repetitions that their source's target grants; those that get none go (op 2).
 - encode: ids and decoded text of each document as digests (op 9).
 
@@ -36,7 +36,7 @@ def _back(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _back(quality_rules.judge(_core(docs)).where("kept"), docs)
+    return _back(quality_rules.keep(_core(docs)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tag = F.xxhash64("text").alias("tag")  # tells rows with one id and different texts apart
-    stays = ngram_join.join(_core(docs, tag), tag="tag").where("doc_id = class_id").select("doc_id", "tag").distinct()
+    found = ngram_join.join(_core(docs, tag), tag="tag")
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("one")).select("one.doc_id", "one.tag")
+    stays = first.union(found.where("group IS NULL").select("doc_id", "tag")).distinct().select(F.col("doc_id").alias("id"), F.col("tag").alias("is"))
+    stays = Scratch(spark, "near").save(stays)
     rows = _core(docs, tag)
-    kept = rows.join(Scratch(spark, "near").save(stays), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
-    return _back(kept.unionByName(rows.where("doc_id IS NULL")), docs)
+    kept = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("is")), "left_semi")
+    return _back(kept.dropDuplicates(["doc_id", "tag"]), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
