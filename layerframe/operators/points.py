@@ -1,54 +1,28 @@
-"""Point lookups: which mapping covers a sector. An index of a checked size goes to every task as sorted arrays, a larger one meets its probes in bins."""
+"""Point lookups: which mapping covers a sector. Mappings and probes meet in bins, by a hash join in generated code."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .overlay import BIN, into_bins, trimmed
 
-#: Mappings that are sent to every task, at most (32 bytes each).
-MOST_SENT = 1_000_000
+#: Pieces of mappings that are sent to every task, at most (about 64 bytes each).
+MOST_SENT = 2_000_000
 
 
 def lookup_points(index: DataFrame, probes: DataFrame, most_sent: int = MOST_SENT, width: int = BIN) -> DataFrame:
-    """(dev, sector, moff, zeroed, layer) for each probe (dev, sector) that a mapping covers; the index has no overlaps."""
-    cols = ["dev", "lo", "hi", "moff", "zeroed", "layer"]
-    t = index.select(cols).limit(most_sent + 1).toArrow()
-    if t.num_rows > most_sent:
-        idx = into_bins(index.select(cols), width=width)
-        got = idx.join(probes.select("dev", "sector", F.floor(F.col("sector") / width).cast("long").alias("bin")), ["dev", "bin"]).where("lo <= sector AND sector < hi")
-        return got.select("dev", "sector", trimmed(F.col("moff"), F.col("sector") - F.col("lo"), F.col("zeroed")).alias("moff"), "zeroed", "layer")
-    dev, lo, hi, moff, layer = (t[c].to_numpy().astype(np.int64) for c in ("dev", "lo", "hi", "moff", "layer"))
-    zeroed = t["zeroed"].to_numpy()
-    order = np.lexsort((lo, dev))
-    dev, lo, hi, moff, layer, zeroed = (a[order] for a in (dev, lo, hi, moff, layer, zeroed))
-    names, first = np.unique(dev, return_index=True)
-    span = np.int64(max(1, int(hi.max(initial=0)) + 1))
-    place = np.repeat(np.arange(len(names)), np.diff(np.append(first, len(dev)))) * span + lo  # one sorted key for device and place
-    sent = index.sparkSession.sparkContext.broadcast((names, span, place, lo, hi, moff, layer, zeroed))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, span, place, lo, hi, moff, layer, zeroed = sent.value
-        for batch in batches:
-            d, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(names):
-                continue
-            code = np.minimum(np.searchsorted(names, d), len(names) - 1)
-            at = np.maximum(np.searchsorted(place, code * span + np.minimum(s, span - 1), "right") - 1, 0)
-            hit = (names[code] == d) & (dev_of(place, at, span) == code) & (lo[at] <= s) & (s < hi[at])
-            at, d, s = at[hit], d[hit], s[hit]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(s), pa.array(moff[at] + np.where(zeroed[at], 0, s - lo[at])), pa.array(zeroed[at]), pa.array(layer[at].astype(np.int32))],
-                names=["dev", "sector", "moff", "zeroed", "layer"])
-
-    rows = probes.select(F.col("dev").cast("long"), F.col("sector").cast("long")).where("dev IS NOT NULL AND sector >= 0")
-    return rows.mapInArrow(run, "dev long, sector long, moff long, zeroed boolean, layer int")
-
-
-def dev_of(place: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-    return place[at] // span
+    """(dev, sector, moff, zeroed, layer) for each probe (dev, sector) that a mapping covers; the index has no overlaps.
+
+    A mapping has a piece in every bin that it covers, so a probe looks at the pieces of one bin. They are counted first, up to the
+    bound: no more than it allows are broadcast, and a larger index is joined by a shuffle on the bins.
+    """
+    key = lambda dev, at: F.xxhash64(dev, at)  # noqa: E731  one long, so that the hash table is keyed by a primitive
+    idx = into_bins(index.select("dev", "lo", "hi", "moff", "zeroed", "layer"), width=width)
+    idx = idx.select(key(F.col("dev"), F.col("bin")).alias("_key"), F.col("dev").alias("_dev"), "lo", "hi", "moff", "zeroed", "layer")
+    if idx.select(F.lit(1)).limit(most_sent + 1).count() <= most_sent:
+        idx = F.broadcast(idx)
+    ask = probes.select(F.col("dev").cast("long").alias("dev"), F.col("sector").cast("long").alias("sector")).where("dev IS NOT NULL AND sector >= 0")
+    ask = ask.withColumn("_key", key(F.col("dev"), F.expr(f"sector div {width}")))
+    got = ask.join(idx, "_key").where("dev = _dev AND lo <= sector AND sector < hi")
+    return got.select("dev", "sector", trimmed(F.col("moff"), F.col("sector") - F.col("lo"), F.col("zeroed")).alias("moff"), "zeroed", "layer")
