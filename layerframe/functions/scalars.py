@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,13 +148,14 @@ def big_endian(data: Column, at: int, size: int) -> Column:
 
 #: Messages by error number (fixed values).
 ERRORS = {1: "Authentication failed", 13: "Authentication failed", 107: "Connection failed", 110: "Get meta timedout", 2: "No such file or directory", 16: "Too many requests", 5: "Unexpected response"}
+#: Numbers below this one have a text of the system's own.
+MOST_ERRORS = 134
 
 
 def error_message(eno: Column) -> Column:
-    out = F.concat(F.lit("error "), eno.cast("string"))
-    for k, v in ERRORS.items():
-        out = F.when(eno == k, F.lit(v)).otherwise(out)
-    return out
+    """The message of an error number; the system's text where there is none of our own."""
+    texts = F.array(*[F.lit(ERRORS.get(i, os.strerror(i))) for i in range(MOST_ERRORS)])
+    return F.when((eno >= 0) & (eno < MOST_ERRORS), F.get(texts, eno.cast("int"))).otherwise(F.concat(F.lit("Unknown error "), eno.cast("string")))
 
 
 def pax_record(key: Column, value: Column) -> Column:

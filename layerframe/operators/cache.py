@@ -48,38 +48,41 @@ def evict_range(extents: DataFrame, holes: DataFrame) -> DataFrame:
     return j.select("file", F.explode(cut).alias("s")).select("file", "s.*")
 
 
-def evict_lru(log: DataFrame, pool: list[str], capacity: int, watermark: int) -> DataFrame:
-    """Evictions of least recently used files, pool by pool, over an access log (pool, seq, file, len, open_count).
+def evict_lru(log: DataFrame, pool: list[str], watermark: int) -> DataFrame:
+    """Evictions of least recently used files, pool by pool, over an access log (pool, seq, file, len, open_count, and disk_short if it has one).
 
-    When the used bytes pass the watermark, files go from the longest unused on until they are down to it; a file that is open is truncated and
-    keeps its place. A pool is simulated in order: that is what LRU means; pools are independent. capacity bounds a single file.
+    An access moves its file to the front and sets its size to len; used bytes grow with a file and fall only when one is truncated. When they
+    reach the watermark, or the disk lacks disk_short bytes, files go from the longest unused on (the file just written may be among them) until
+    as many bytes are freed as the larger of the two asks for, at most all. A closed file is removed. An open one is truncated, moves to the front and
+    stays. A pool is simulated in order: that is what LRU means; pools are independent, and a step costs what it evicts.
     """
     keys = ", ".join(f"{p} {log.schema[p].dataType.simpleString()}" for p in pool)
+    if "disk_short" not in log.columns:
+        log = log.withColumn("disk_short", F.lit(0).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: OrderedDict[str, list[int]] = OrderedDict()
+        size: OrderedDict[str, int] = OrderedDict()  # the longest unused first
+        opened: dict[str, int] = {}
         used, out = 0, []
-        for seq, file, size, opened in pdf.sort_values(["seq", "file"])[["seq", "file", "len", "open_count"]].itertuples(index=False):
-            entry = held.setdefault(file, [0, 0])
-            held.move_to_end(file)
-            more = min(int(size), capacity - entry[0])
-            entry[0] += more
-            entry[1] = int(opened)
-            used += more
-            over = used - watermark
-            for victim in list(held) if over > 0 else []:
-                if over <= 0:
-                    break
-                if victim == file or not held[victim][0]:
-                    continue
-                freed = held[victim][0]
-                out.append((seq, victim, freed, held[victim][1] > 0))
-                over -= freed
-                used -= freed
-                if held[victim][1] > 0:
-                    held[victim][0] = 0
+        for seq, file, now, count, short in pdf.sort_values(["seq", "file"])[["seq", "file", "len", "open_count", "disk_short"]].itertuples(index=False):
+            used += max(0, int(now) - size.get(file, 0))
+            size[file], opened[file] = int(now), int(count)
+            size.move_to_end(file)
+            left = min(max(used - watermark, int(short)), used)
+            empty = 0  # open files without bytes that were passed since the last one with some
+            while left > 0 and size and empty < len(size):
+                victim, held = next(iter(size.items()))
+                kept = opened[victim] > 0
+                if kept:
+                    size.move_to_end(victim)
+                    size[victim] = 0
                 else:
-                    del held[victim]
+                    del size[victim], opened[victim]
+                empty = empty + 1 if kept and not held else 0
+                if held:
+                    out.append((seq, victim, held, kept))
+                    used -= held
+                    left -= held
         got = pd.DataFrame(out, columns=["seq", "victim", "freed", "kept_open"])
         for p in pool:
             got[p] = pdf[p].iloc[0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerframe.plans.ordered import running_sum
+
 from . import overlay
 
 HEADER_SECTORS = 8
@@ -28,11 +30,12 @@ def discard(log: DataFrame, ranges: DataFrame) -> DataFrame:
     return log.unionByName(overlay.split_long(holes).select(log.columns))
 
 
-def append_writes(log: DataFrame, writes: DataFrame) -> DataFrame:
-    """Appends writes behind the data that a layer already holds: moff follows arrival order."""
-    held = log.groupBy("dev").agg(F.max(F.col("moff") + F.col("hi") - F.col("lo")).alias("_end"))
-    w = Window.partitionBy("dev").orderBy("write_seq").rowsBetween(Window.unboundedPreceding, -1)
-    put = writes.join(held, "dev", "left").withColumn("moff", F.coalesce("_end", F.lit(HEADER_SECTORS)) + F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(w), F.lit(0)))
+def append_writes(log: DataFrame, writes: DataFrame, width: int = 1 << 12) -> DataFrame:
+    """Appends writes behind the data that their layer already holds: moff follows arrival order, write_seq."""
+    held = log.groupBy(F.col("dev").alias("_dev"), F.col("layer").alias("_layer")).agg(F.max(F.col("moff") + F.col("hi") - F.col("lo")).alias("_end"))
+    put = running_sum(writes, ["dev", "layer"], "write_seq", F.col("hi") - F.col("lo"), width, "_before")
+    put = put.join(held, (F.col("dev") == F.col("_dev")) & (F.col("layer") == F.col("_layer")), "left")
+    put = put.withColumn("moff", F.coalesce("_end", F.lit(HEADER_SECTORS)) + F.col("_before"))
     return log.unionByName(put.select(log.columns))
 
 

@@ -127,22 +127,12 @@ def block_range_scan(spark, sf):
     return blocks.touched_blocks(r, d.selectExpr("doc_id AS file_id", "n_chars AS size"), 1024)
 
 
-@query("""WITH p AS (SELECT o_custkey % 8 AS file_id, o_orderkey * 512 AS de_pos, max(o_orderkey * 128) AS en_pos FROM orders WHERE o_orderkey % 16 = 0 GROUP BY ALL),
-r AS (SELECT event_id AS req_id, event_id % 8 AS file_id, (event_id * 7919) % 4000000 AS "offset" FROM events WHERE event_id % 10 = 0),
-f AS (SELECT file_id, min(de_pos) AS de_pos, arg_min(en_pos, de_pos) AS en_pos FROM p GROUP BY file_id)
-SELECT r.req_id, r.file_id, r."offset", coalesce(p.de_pos, f.de_pos) AS de_pos, coalesce(p.en_pos, f.en_pos) AS en_pos
-FROM r ASOF LEFT JOIN p ON r.file_id = p.file_id AND r."offset" >= p.de_pos LEFT JOIN f ON f.file_id = r.file_id""")
-def checkpoint_floor(spark, sf):
-    """On a sixteenth of the orders and a tenth of the events, as its SQL; checkpoint_floor_all takes the whole tables."""
-    return _floor(fx.table(spark, sf, "orders").where("o_orderkey % 16 = 0"), fx.table(spark, sf, "events").where("event_id % 10 = 0"))
-
-
 @query("""WITH p AS (SELECT o_custkey % 8 AS file_id, o_orderkey * 512 AS de_pos, max(o_orderkey * 128) AS en_pos FROM orders GROUP BY ALL),
 r AS (SELECT event_id AS req_id, event_id % 8 AS file_id, (event_id * 7919) % 4000000 AS "offset" FROM events),
 f AS (SELECT file_id, min(de_pos) AS de_pos, arg_min(en_pos, de_pos) AS en_pos FROM p GROUP BY file_id)
 SELECT r.req_id, r.file_id, r."offset", coalesce(p.de_pos, f.de_pos) AS de_pos, coalesce(p.en_pos, f.en_pos) AS en_pos
 FROM r ASOF LEFT JOIN p ON r.file_id = p.file_id AND r."offset" >= p.de_pos LEFT JOIN f ON f.file_id = r.file_id""")
-def checkpoint_floor_all(spark, sf):
+def checkpoint_floor(spark, sf):
     return _floor(fx.table(spark, sf, "orders"), fx.table(spark, sf, "events"))
 
 
@@ -164,12 +154,13 @@ def blob_digest(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", sc.digest(F.col("text")).alias("digest"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def block_file_roundtrip(spark, sf):
     d = fx.table(spark, sf, "documents").selectExpr("doc_id AS file_id", "cast(text AS binary) AS data")
     packed = blocks.compress(blocks.split_blocks(d))
     back = blocks.join_blocks(blocks.decompress(packed).where("ok").select("file_id", "block_id", "data"))
-    return back.select(F.col("file_id").alias("doc_id"), F.sha2("data", 256).alias("digest"))
+    empty = F.when(F.col("_null"), None).otherwise(F.coalesce("data", F.lit(b"")))  # a file without bytes has no block
+    return d.select("file_id", F.col("data").isNull().alias("_null")).join(back, "file_id", "left").select(F.col("file_id").alias("doc_id"), F.sha2(empty, 256).alias("digest"))
 
 
 @query()
@@ -178,12 +169,13 @@ def crc32c_block(spark, sf):
     return blocks.split_blocks(d).select("file_id", "block_id", crc32c_salted()("data").alias("crc"))
 
 
-@query("SELECT doc_id, substr(lower(hex(encode(text))), 201, 128) AS piece FROM documents")
+@query("SELECT doc_id, substr(h, (n // 2 * 2)::INT + 1, 128) AS piece FROM (SELECT doc_id, lower(hex(encode(text))) AS h, octet_length(encode(text)) AS n FROM documents)")
 def gzip_random_read(spark, sf):
+    """64 bytes from the middle of every text: behind many checkpoints, where a text is long."""
     from layerframe.sources.streams import gzip_ranges
 
     d = fx.table(spark, sf, "documents").selectExpr("doc_id AS file_id", "cast(text AS binary) AS data")
-    return gzip_ranges(d, 100, 64)
+    return gzip_ranges(d.selectExpr("file_id", "data", "length(data) div 2 AS offset", "64 AS count"))
 
 
 # ---- caches
@@ -229,7 +221,7 @@ def ns_block_address(spark, sf):
 @query()
 def lru_evictions(spark, sf):
     log = fx.table(spark, sf, "events").selectExpr("cast(user_id % 7 AS int) AS pool", "event_id AS seq", "concat('f', user_id % 97) AS file", "4096 * (1 + event_id % 16) AS len", "cast(event_id % 5 = 0 AS int) AS open_count")
-    return cache.evict_lru(log, ["pool"], 1 << 24, 1 << 19)
+    return cache.evict_lru(log, ["pool"], 1 << 19)
 
 
 @query("""SELECT file, x AS "offset", least(33554432, o + n - x) AS count FROM (SELECT file, o, n, unnest(generate_series(o, o + n - 1, 33554432)) AS x FROM (SELECT c_custkey AS file, c_custkey * 1000 AS o, (1 + c_custkey % 50) * 10000000 AS n FROM customer))""")
@@ -324,7 +316,7 @@ def read_clamp(spark, sf):
 
 @query("""SELECT event_id, down, up, (x >> 9)::BIGINT AS sector, bit, with_bit, cfg, dev, msg FROM (SELECT event_id, event_id * 37 AS x, event_id * 37 // 4096 * 4096 AS down, (event_id * 37 + 4095) // 4096 * 4096 AS up,
 (event_id & 4) <> 0 AS bit, event_id | 8 AS with_bit, CASE WHEN event_id % 2 = 0 THEN 'a.json' ELSE 'b' END AS cfg, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE '' END AS dev,
-CASE event_id % 4 WHEN 0 THEN 'No such file or directory' WHEN 1 THEN 'Authentication failed' WHEN 2 THEN 'Too many requests' ELSE 'error 99' END AS msg FROM events)""")
+CASE event_id % 4 WHEN 0 THEN 'No such file or directory' WHEN 1 THEN 'Authentication failed' WHEN 2 THEN 'Too many requests' ELSE 'Cannot assign requested address' END AS msg FROM events)""")
 def scalar_functions(spark, sf):
     e = fx.table(spark, sf, "events")
     i = F.col("event_id")
@@ -357,13 +349,14 @@ def stack_virtual_size(spark, sf):
     return layers.open_stack(fx.segments(spark, sf), m)[1]
 
 
-@query(f"""WITH {fx.SEGMENTS}, {fx.READS}, l AS (SELECT * FROM segments WHERE layer = 1),
-w AS (SELECT dev, 9 AS layer, req_id + 1000000000 AS write_seq, lo, hi, 0::BIGINT AS moff, false AS zeroed FROM reads), e AS (SELECT dev, max(moff + hi - lo) AS e FROM l GROUP BY dev),
-a AS (SELECT w.dev, layer, write_seq, lo, hi, coalesce(e, 8) + coalesce(sum(hi - lo) OVER (PARTITION BY w.dev ORDER BY write_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moff, zeroed FROM w LEFT JOIN e ON w.dev = e.dev)
-SELECT * FROM l UNION ALL SELECT * FROM a""")
+@query(f"""WITH {fx.SEGMENTS}, {fx.READS}, e AS (SELECT dev, layer, max(moff + hi - lo) AS e FROM segments GROUP BY dev, layer),
+w AS (SELECT dev, (1 + req_id % 9)::INT AS layer, req_id + 1000000000 AS write_seq, lo, hi, false AS zeroed FROM reads),
+a AS (SELECT w.dev, w.layer, write_seq, lo, hi, coalesce(e, 8) + coalesce(sum(hi - lo) OVER (PARTITION BY w.dev, w.layer ORDER BY write_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moff, zeroed
+  FROM w LEFT JOIN e ON w.dev = e.dev AND w.layer = e.layer)
+SELECT * FROM segments UNION ALL SELECT * FROM a""")
 def append_writes(spark, sf):
-    w = fx.reads(spark, sf).selectExpr("dev", "9 AS layer", "req_id + 1000000000 AS write_seq", "lo", "hi", "cast(0 AS bigint) AS moff", "false AS zeroed")
-    return layers.append_writes(fx.segments(spark, sf).where("layer = 1"), w)
+    w = fx.reads(spark, sf).selectExpr("dev", "cast(1 + req_id % 9 AS int) AS layer", "req_id + 1000000000 AS write_seq", "lo", "hi", "cast(0 AS bigint) AS moff", "false AS zeroed")
+    return layers.append_writes(fx.segments(spark, sf), w)
 
 
 @query(f"{FLAT} SELECT dev, lo, hi, moff, zeroed, layer, write_seq FROM flat WHERE layer < 7 UNION ALL SELECT dev, lo, hi, moff, zeroed, 8 AS layer, write_seq FROM flat WHERE layer = 7")

@@ -174,10 +174,10 @@ def virtual_resize(spark, sf):
     return layers.resize(flat(spark, sf), 2048)
 
 
-@query(f"""WITH {fx.READS}, {fx.SEGMENTS}, r AS (SELECT dev, 99 AS layer, req_id + 1000000000 AS write_seq, lo, hi, 0::BIGINT AS moff, true AS zeroed FROM reads WHERE req_id % 7 = 0),
+@query(f"""WITH {fx.READS}, {fx.SEGMENTS}, r AS (SELECT dev, 99 AS layer, req_id + 1000000000 AS write_seq, lo, hi, 0::BIGINT AS moff, true AS zeroed FROM reads),
 u AS (SELECT * FROM segments UNION ALL SELECT * FROM r), {fx.flat_sql('u', 'flat')} SELECT * FROM flat""")
 def discard_ranges(spark, sf):
-    holes = fx.reads(spark, sf).where("req_id % 7 = 0").selectExpr("dev", "99 AS layer", "req_id + 1000000000 AS write_seq", "lo", "hi")
+    holes = fx.reads(spark, sf).selectExpr("dev", "99 AS layer", "req_id + 1000000000 AS write_seq", "lo", "hi")
     return overlay.flatten(layers.discard(fx.segments(spark, sf), holes))
 
 

@@ -134,9 +134,45 @@ def test_cache(spark):
     reads = spark.createDataFrame([("f", 1, 0, 100), ("f", 2, 4096, 20000), ("f", 3, 12000, 30000), ("g", 4, 5, 5)], "file string, req_id long, offset long, count long")
     got = {r["req_id"]: (r["refill_offset"], r["refill_count"]) for r in cache.miss_range(reads, ext, 4096).collect()}
     assert got == {1: (0, 0), 2: (12288, 12288), 3: (12288, 28672), 4: (0, 4096)}
-    log = spark.createDataFrame([(1, i, f, 10, int(f == "a")) for i, f in enumerate("abcab d".replace(" ", ""))], "pool int, seq long, file string, len long, open_count int")
-    out = cache.evict_lru(log, ["pool"], 100, 35).orderBy("seq", "victim").collect()
-    assert [(r["seq"], r["victim"], r["freed"], r["kept_open"]) for r in out] == [(3, "b", 10, False), (4, "c", 10, False), (5, "a", 20, True)]
+
+
+def plain_eviction(log, watermark):
+    """The cache's rule as it reads: a list with the last used file first."""
+    order, size, opened, used, out = [], {}, {}, 0, []
+    for seq, file, now, count, short in log:
+        used += max(0, now - size.get(file, 0))
+        size[file], opened[file] = now, count
+        order = [file, *(f for f in order if f != file)]
+        left = min(max(used - watermark if used >= watermark else 0, short), used)
+        for _ in range(10 * len(order)):
+            if left <= 0 or not order:
+                break
+            victim, freed = order[-1], size[order[-1]]
+            order.pop()
+            if opened[victim]:
+                order.insert(0, victim)
+                size[victim] = 0
+            else:
+                del size[victim]
+            if freed:
+                out.append((seq, victim, freed, opened[victim] > 0))
+                used, left = used - freed, left - freed
+    return out
+
+
+def test_eviction(spark):
+    rng = random.Random(9)
+    rows = []
+    for pool in (1, 2, None):
+        rows += [(pool, i, rng.choice("abcdefgh"), rng.choice([0, 5, 10, 30]), int(rng.random() < 0.3), rng.choice([0, 0, 0, 0, 25, 10**6])) for i in range(200)]
+    log = spark.createDataFrame(rows, "pool int, seq long, file string, len long, open_count int, disk_short long")
+    got = cache.evict_lru(log, ["pool"], 60).collect()
+    for pool in (1, 2, None):
+        want = plain_eviction([r[1:] for r in rows if r[0] == pool], 60)
+        assert len(want) > 20 and sorted((r["seq"], r["victim"], r["freed"], r["kept_open"]) for r in got if r["pool"] == pool) == sorted(want)
+    few = spark.createDataFrame([(1, i, f, 10, int(f == "a")) for i, f in enumerate("abcabd")], "pool int, seq long, file string, len long, open_count int")
+    out = cache.evict_lru(few, ["pool"], 25).orderBy("seq").collect()
+    assert [(r["seq"], r["victim"], r["freed"], r["kept_open"]) for r in out] == [(2, "a", 10, True), (3, "b", 10, False), (4, "c", 10, False), (5, "a", 10, True)]
 
 
 def test_thinning_against_fold(spark):

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
 
 
-def test_checkpoint_floor_all(spark):
+def test_checkpoint_floor(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
     events = [r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
     points = {f: sorted(o["o_orderkey"] * 512 for o in orders if o["o_custkey"] % 8 == f) for f in range(8)}
@@ -23,5 +23,5 @@ def test_checkpoint_floor_all(spark):
             want.append((e, pos, pos // 4))
         else:
             want.append((e, None, None))
-    got = QUERIES["checkpoint_floor_all"](spark, SF).select("req_id", "de_pos", "en_pos").collect()
+    got = QUERIES["checkpoint_floor"](spark, SF).select("req_id", "de_pos", "en_pos").collect()
     assert len(got) == len(events) and sorted(map(tuple, got)) == sorted(want)
