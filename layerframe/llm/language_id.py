@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features: the lower-cased letters of a whole text, everything else squeezed to one space, as 1- to 3-grams hashed into
+Features: the lower-cased letters of a whole text, everything else squeezed to one space and a space added at both ends, as 1- to 3-grams hashed into
 BUCKETS buckets, (1 + log tf) * idf, scaled to length 1. The idf comes from all learning documents. The weights are fitted on a
 bounded sample, SAMPLE_PER_CLASS documents of each language with the smallest hashes, by follow-the-regularised-leader
 with an elastic-net penalty; a held-back fifth of the sample sets the temperature of the probabilities.
