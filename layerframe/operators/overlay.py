@@ -83,7 +83,7 @@ def segments_of(index: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("d
     """Every range as ordered pieces of kind hole, zero or data; holes (also at the end) are made up and have no moff."""
     keys = list(keys)
     found = lookup(index, ranges, tuple(keys)).select(*keys, "req_id", "lo", "hi", F.when(F.col("zeroed"), "zero").otherwise("data").alias("kind"), F.when(~F.col("zeroed"), F.col("moff")).alias("moff"))
-    ends = ranges.select(*keys, "req_id", F.col("hi").alias("lo"), F.col("hi"), F.lit("end").alias("kind"), F.lit(None).cast("long").alias("moff")).where("lo = hi OR true")
+    ends = ranges.select(*keys, "req_id", F.col("hi").alias("lo"), F.col("hi"), F.lit("end").alias("kind"), F.lit(None).cast("long").alias("moff"))
     starts = ranges.select(*keys, "req_id", F.col("lo").alias("_from"))
     seen = with_previous(found.unionByName(ends), [*keys, "req_id"], "lo", ["hi"], SPAN, ["hi"])
     gaps = (
