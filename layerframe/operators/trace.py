@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.functions.scalars import blob_segments, segment_prefixes
+from layerframe.plans.ordered import running_sum
 
 MAX_IO = 1 << 20
 
@@ -21,11 +22,10 @@ def replayable(trace: DataFrame, layers: DataFrame, workers: int | None = None)
     return got.repartition(workers) if workers else got
 
 
-def slices(extents: DataFrame, size: str = "size", most: int = MAX_IO) -> DataFrame:
+def slices(extents: DataFrame, size: str = "size", most: int = MAX_IO, width: int = 1 << 32) -> DataFrame:
     """Extents (file, lo, len) of files with a size as reads of at most `most` bytes; a file's extents end at its size in whole sectors."""
-    w = Window.partitionBy("file").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.greatest(F.lit(0).cast("long"), F.ceil(F.col(size) / 512) * 512 - F.coalesce(F.sum("len").over(w), F.lit(0)))
-    cut = extents.withColumn("n", F.least(F.col("len"), room).cast("long")).where("n > 0")
+    room = F.greatest(F.lit(0).cast("long"), F.ceil(F.col(size) / 512) * 512 - F.col("_before"))
+    cut = running_sum(extents, ["file"], "lo", F.col("len"), width, "_before").withColumn("n", F.least(F.col("len"), room).cast("long")).where("n > 0")
     cut = cut.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))))
     return cut.select("file", (F.col("lo") + F.col("at")).alias("offset"), F.least(F.lit(most), F.col("n") - F.col("at")).alias("count"))
 

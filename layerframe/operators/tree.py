@@ -6,10 +6,11 @@ equi-join on a path's ancestors, so no path is compared with every other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.functions.scalars import basename, clean_path, dirname, remove_last_slash
+from layerframe.plans.ordered import running_sum
 
 MARK, OPAQUE = ".wh.", ".wh..wh..opq"
 
@@ -88,17 +89,18 @@ def resolve(paths: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select("path", F.when(F.col("done"), F.col("resolved")).alias("resolved"))
 
 
-def header_dump(entries: DataFrame) -> DataFrame:
-    """Header blocks of an archive one after the other: where each entry's header and data lie when data follow headers."""
+def header_dump(entries: DataFrame, width: int = 1 << 12) -> DataFrame:
+    """Header blocks of an archive one after the other: where each entry's header and data lie when data follow headers.
+
+    An archive is read in the order of seq (one entry each); its offsets are summed inside bins of `width` numbers.
+    """
     blocks = F.when(F.col("typeflag") == "0", F.ceil(F.col("size") / 512)).otherwise(F.lit(0)).cast("long")
-    w = Window.partitionBy("layer").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # an archive is read in order
-    before = F.coalesce(F.sum(blocks + 1).over(w), F.lit(0))
-    return entries.select("layer", "seq", "path", "typeflag", "size", (before * 512).alias("header_offset"), ((before + 1) * 512).alias("data_offset"))
+    placed = running_sum(entries, ["layer"], "seq", blocks + 1, width, "_before")
+    return placed.select("layer", "seq", "path", "typeflag", "size", (F.col("_before") * 512).alias("header_offset"), ((F.col("_before") + 1) * 512).alias("data_offset"))
 
 
-def remote_ranges(dumped: DataFrame) -> DataFrame:
+def remote_ranges(dumped: DataFrame, width: int = 1 << 12) -> DataFrame:
     """Regular files as ranges of the archive: (layer, path, offset in the tree's file space, count, roffset)."""
     files = dumped.where("typeflag = '0' AND size > 0")
-    w = Window.partitionBy("layer").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     padded = (F.ceil(F.col("size") / 4096) * 4096).cast("long")
-    return files.select("layer", "path", F.coalesce(F.sum(padded).over(w), F.lit(0)).cast("long").alias("offset"), F.col("size").alias("count"), F.col("data_offset").alias("roffset"))
+    return running_sum(files, ["layer"], "seq", padded, width, "offset").select("layer", "path", "offset", F.col("size").alias("count"), F.col("data_offset").alias("roffset"))

@@ -11,7 +11,7 @@ from layerframe.operators import blocks, cache, layers, trace, tree
 from layerframe.sources import config
 
 from . import fixtures as fx
-from .queries import FLAT, flat, query
+from .queries import FLAT, ORACLES, flat, query
 
 # ---- trees
 
@@ -327,7 +327,7 @@ def scalar_functions(spark, sf):
                     cd["config"].alias("cfg"), cd["dev_id"].alias("dev"), sc.error_message(eno).alias("msg"))
 
 
-@query()
+@query(ORACLES["overlay_lww_insert"])
 def stream_lww(spark, sf):
     """The streamed last-writer-wins state of a device after all batches, by the batch operator that the stream applies."""
     from layerframe.streaming.extents import replay_in_batches
@@ -335,8 +335,6 @@ def stream_lww(spark, sf):
     return replay_in_batches(fx.segments(spark, sf), 4)
 
 
-
-
 # ---- stacks, candidates, configuration
 
 STACK = "m AS (SELECT s_nationkey AS dev, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS layer, (s_suppkey % 3) * 1024 AS virtual_size FROM supplier)"
@@ -382,6 +380,9 @@ def image_config(spark, sf):
     return got.select("value", "repo_blob_url", F.size("lowers").alias("n_lowers"), F.col("lowers")[0]["file"].alias("first_file"), F.col("lowers")[0]["size"].alias("first_size"), "acceleration_layer")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT user_id, ts, n, false AS hit, ts AS at_ FROM a WHERE n = 1
+  UNION ALL SELECT a.user_id, a.ts, a.n, a.ts - at_ < INTERVAL 3600 SECOND, CASE WHEN a.ts - at_ < INTERVAL 3600 SECOND THEN at_ ELSE a.ts END FROM r JOIN a ON a.user_id = r.user_id AND a.n = r.n + 1)
+SELECT user_id, ts, hit FROM r""")
 def ttl_hits(spark, sf):
     return trace.ttl_hits(fx.table(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", 3600)

@@ -78,7 +78,10 @@ def coalesce_islands(spark, sf):
     return overlay.coalesce(flat(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SEGMENTS}, {fx.flat_sql()}, {_isl(True)}, o AS (SELECT *, row_number() OVER (PARTITION BY dev, isl ORDER BY lo) AS n FROM y),
+r AS (SELECT dev, isl, n, lo, hi, lo AS a FROM o WHERE n = 1
+  UNION ALL SELECT o.dev, o.isl, o.n, o.lo, o.hi, CASE WHEN o.hi - a < 16383 THEN a ELSE o.lo END FROM r JOIN o ON o.dev = r.dev AND o.isl = r.isl AND o.n = r.n + 1)
+SELECT r.dev, a AS lo, max(r.hi) AS hi, arg_min(moff, r.lo) AS moff, first(zeroed) AS zeroed, first(layer) AS layer FROM r JOIN o ON r.dev = o.dev AND r.isl = o.isl AND r.n = o.n GROUP BY r.dev, a""")
 def coalesce_capped(spark, sf):
     return overlay.coalesce_capped(flat(spark, sf))
 
