@@ -24,3 +24,27 @@ def test_ttl_stream(spark, tmp_path):
     q = extents.ttl_cache(s, "k", 30).writeStream.format("memory").queryName("ttl_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["hit"] for r in spark.sql("SELECT * FROM ttl_out ORDER BY ts").collect()] == [False, True, False]
+
+
+def test_bucketed_stream(spark, tmp_path):
+    writes = spark.range(240).selectExpr("id % 3 AS dev", "0 AS layer", "id AS write_seq", "65000 + (id * 37) % 900 AS lo", "65000 + (id * 37) % 900 + 1 + id % 90 AS hi", "id * 100 AS moff", "id % 5 = 0 AS zeroed")
+    want = cover(overlay.insert_all(writes).collect())
+    src, table = str(tmp_path / "in"), str(tmp_path / "state")
+    for i in range(4):
+        writes.where(f"write_seq % 4 = {i}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    extents.stream_lww_bucketed(stream, table, str(tmp_path / "ck"), 4).awaitTermination()
+    assert cover(extents.bucketed_state(spark, table).collect()) == want
+    kept = extents._versions(spark, table)
+    assert kept and all(len(v) <= 2 for v in kept.values())
+    assert extents.bucketed_state(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_convert_twice(spark, tmp_path):
+    folder, out = tmp_path / "files", str(tmp_path / "out")
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.bin").write_bytes(b"x" * (i + 1))
+    for ck in ("a", "b"):  # a new checkpoint folder makes the batch run again
+        extents.convert_files(spark, str(folder), out, str(tmp_path / ck), lambda df: df.select("length")).awaitTermination()
+    assert sorted(r["length"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
