@@ -169,13 +169,17 @@ def crc32c_block(spark, sf):
     return blocks.split_blocks(d).select("file_id", "block_id", crc32c_salted()("data").alias("crc"))
 
 
-@query("SELECT doc_id, substr(h, (n // 2 * 2)::INT + 1, 128) AS piece FROM (SELECT doc_id, lower(hex(encode(text))) AS h, octet_length(encode(text)) AS n FROM documents)")
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'no data' ELSE 'ok' END AS status, n AS raw_size, 'sha256:' || sha256(text) AS digest, substr(h, (n // 2 * 2)::INT + 1, 128) AS piece
+FROM (SELECT *, lower(hex(encode(text))) AS h, octet_length(encode(text)) AS n FROM documents)""")
 def gzip_random_read(spark, sf):
-    """64 bytes from the middle of every text: behind many checkpoints, where a text is long."""
-    from layerframe.sources.streams import gzip_ranges
+    """Gzip streams without flushes, an index of each built from its deflate blocks, and 64 bytes from the middle of every text read through it."""
+    from layerframe.sources import gzip_index
+    from layerframe.sources.streams import gzip_streams
 
     d = fx.table(spark, sf, "documents").selectExpr("doc_id AS file_id", "cast(text AS binary) AS data")
-    return gzip_ranges(d.selectExpr("file_id", "data", "length(data) div 2 AS offset", "64 AS count"))
+    built = gzip_index.build_indexes(gzip_streams(d, memory=2), 1024)
+    got = gzip_index.read_ranges(built.withColumns({"offset": F.expr("coalesce(raw_size, 0) div 2"), "count": F.lit(64)}))
+    return got.select(F.col("file_id").alias("doc_id"), "status", "raw_size", "digest", F.lower(F.hex("piece")).alias("piece"))
 
 
 # ---- caches

@@ -44,17 +44,10 @@ def inflate(files: DataFrame) -> DataFrame:
     return files.select("file_id", "data").mapInPandas(run, "file_id long, data binary, digest string")
 
 
-def gzip_ranges(files: DataFrame, block: int = 1024) -> DataFrame:
-    """(doc_id, piece) read at random from a gzip stream of each file (file_id, data, offset, count): decoded from the last checkpoint at or before the offset.
-
-    Streams are made here, with a full flush as a checkpoint after every `block` bytes.
-    """
+def gzip_streams(files: DataFrame, level: int = 6, memory: int = 8) -> DataFrame:
+    """(file_id, data) as gzip streams; the less memory, the shorter their deflate blocks. Null stays null."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for raw, offset, count in zip(pdf["data"], pdf["offset"], pdf["count"], strict=True):
-                data, points = codecs.deflate_points(bytes(raw), block)
-                out.append(codecs.read_from_point(data, points, int(offset), int(count)))
-            yield pd.DataFrame({"doc_id": pdf["file_id"], "piece": [b.hex() for b in out]})
+            yield pd.DataFrame({"file_id": pdf["file_id"], "data": [None if b is None else codecs.gzip_stream(bytes(b), level, memory) for b in pdf["data"]]})
 
-    return files.select("file_id", "data", "offset", "count").mapInPandas(run, "doc_id long, piece string")
+    return files.select("file_id", "data").mapInPandas(run, "file_id long, data binary")
