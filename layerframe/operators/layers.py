@@ -61,6 +61,12 @@ def restack(stack: DataFrame, top: DataFrame) -> DataFrame:
     return stack.unionByName(top.withColumn("layer", (F.col("layer") + 1).cast("int")).select(stack.columns))
 
 
+def freeze(index: DataFrame, folder: str) -> DataFrame:
+    """The index as it is now, read-only: written under `folder`, in the order of lookups inside each file, and read from there."""
+    index.sortWithinPartitions("dev", "lo").write.parquet(folder)
+    return index.sparkSession.read.schema(index.schema).parquet(folder)
+
+
 def merge(layers: DataFrame) -> DataFrame:
     """Many layers as one: flattened, coalesced offsets compacted, one layer number."""
     return compact(overlay.flatten(layers)).withColumn("moff", F.col("new_moff")).withColumn("layer", F.lit(0)).drop("new_moff")

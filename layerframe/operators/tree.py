@@ -89,6 +89,31 @@ def resolve(paths: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select("path", F.when(F.col("done"), F.col("resolved")).alias("resolved"))
 
 
+#: Prefix of extended attributes among PAX records (fixed value).
+XATTR = "SCHILY.xattr."
+
+
+def attributes(entries: DataFrame) -> DataFrame:
+    """(path, uid, gid, mtime, mode, xattrs) that entries (path, typeflag, uid, gid, mtime, mode, pax) give their files.
+
+    A symbolic link keeps its mode (null here). Names in `user.` go to regular files and directories only. pax is a map, or null.
+    """
+    solid = F.col("typeflag").isin("0", "\x00", "7", "1", "5")
+    named = F.map_filter(F.coalesce("pax", F.expr("cast(map() AS map<string, string>)")), lambda k, _: k.startswith(XATTR))
+    bare = F.transform_keys(named, lambda k, _: F.substring(k, len(XATTR) + 1, 1 << 20))
+    xattrs = F.map_filter(bare, lambda k, _: solid | ~k.startswith("user."))
+    return entries.select("path", "uid", "gid", "mtime", F.when(F.col("typeflag") != "2", F.col("mode").bitwiseAND(F.lit(0o7777).cast("long"))).alias("mode"), xattrs.alias("xattrs"))
+
+
+def read_directories(merged: DataFrame) -> DataFrame:
+    """(folder, name, kind) of every directory of a merged tree, implicit directories included; the root is /.
+
+    kind: the entry's type flag, 5 for directories that no entry names.
+    """
+    paths = merged.select("path", "typeflag").union(implicit_directories(merged).where("NOT conflict").select("path", F.lit("5")))
+    return paths.where("path <> '/'").select(F.when(dirname(F.col("path")) == "/", "/").otherwise(remove_last_slash(dirname(F.col("path")))).alias("folder"), basename(F.col("path")).alias("name"), F.col("typeflag").alias("kind"))
+
+
 def header_dump(entries: DataFrame, width: int = 1 << 12) -> DataFrame:
     """Header blocks of an archive one after the other: where each entry's header and data lie when data follow headers.
 

@@ -206,4 +206,4 @@ def point_lookup(spark, sf):
     return points.lookup_points(flat(spark, sf), probes)
 
 
-from . import file_queries, more_queries  # noqa: E402, F401  the rest registers itself
+from . import file_queries, more_queries, service_queries  # noqa: E402, F401  the rest registers itself
