@@ -63,8 +63,9 @@ def restack(stack: DataFrame, top: DataFrame) -> DataFrame:
 
 def freeze(index: DataFrame, folder: str) -> DataFrame:
     """The index as it is now, read-only: written under `folder`, in the order of lookups inside each file, and read from there."""
-    index.sortWithinPartitions("dev", "lo").write.parquet(folder)
-    return index.sparkSession.read.schema(index.schema).parquet(folder)
+    from layerframe.sources.layer_files import written
+
+    return written(index.sortWithinPartitions("dev", "lo"), folder)
 
 
 def merge(layers: DataFrame) -> DataFrame:

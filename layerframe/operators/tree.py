@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from layerframe.functions.scalars import basename, clean_path, dirname, remove_last_slash
 from layerframe.plans.ordered import running_sum
+from layerframe.sources import layer_files
 
 MARK, OPAQUE = ".wh.", ".wh..wh..opq"
 
@@ -73,20 +74,27 @@ def implicit_directories(entries: DataFrame, mode: int = 0o755) -> DataFrame:
 
 
 def resolve(paths: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(path, resolved) after following symbolic links (path, linkname) in any component; null behind `rounds` links."""
-    now = paths.select("path", clean_path(F.col("path")).alias("resolved"), F.lit(False).alias("done"))
+    """(path, resolved) after following symbolic links (path, linkname) in any component; null behind `rounds` links.
+
+    Every round is written to a folder of its own, so that plans stay short; the round before goes.
+    """
+    spark = paths.sparkSession
+    work = layer_files.shared_folder(spark, "resolve")
+    done = paths.select("path", clean_path(F.col("path")).alias("resolved"), F.lit(False).alias("done"))
     to = links.select(F.col("path").alias("_l"), "linkname")
-    for _ in range(rounds):
+    for i in range(rounds + 1):
+        now = layer_files.written(done, f"{work}/{i}")
+        if i:
+            layer_files.remove(f"{work}/{i - 1}")
+        if i == rounds or now.where("NOT done").isEmpty():
+            return now.select("path", F.when(F.col("done"), F.col("resolved")).alias("resolved"))
         todo = now.where("NOT done").select("path", "resolved", F.explode(F.concat(_up(F.col("resolved")), F.array("resolved"))).alias("_p"))
         hit = todo.join(to, F.col("_p") == F.col("_l"), "left")
         first = hit.groupBy("path", "resolved").agg(F.min_by(F.struct("_l", "linkname"), F.when(F.col("_l").isNotNull(), F.length("_p"))).alias("h"))
         base = F.when(F.col("h.linkname").startswith("/"), F.col("h.linkname")).otherwise(F.concat(dirname(F.col("h._l")), F.col("h.linkname")))
         rest = F.expr("substring(resolved, length(h._l) + 1)")
         moved = first.select("path", F.when(F.col("h._l").isNotNull(), clean_path(F.concat(base, rest))).otherwise(F.col("resolved")).alias("resolved"), F.col("h._l").isNull().alias("done"))
-        now = now.where("done").unionByName(moved).checkpoint() if paths.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else now.where("done").unionByName(moved)
-        if now.where("NOT done").isEmpty():
-            break
-    return now.select("path", F.when(F.col("done"), F.col("resolved")).alias("resolved"))
+        done = now.where("done").unionByName(moved)
 
 
 #: Prefix of extended attributes among PAX records (fixed value).

@@ -27,14 +27,29 @@ def with_previous(df: DataFrame, keys: list[str], pos: str, fields: list[str], w
     return out.withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col(name))).drop("_bin", "_rn", "_carry")
 
 
+#: Bins that one bin of the second level holds.
+GROUP = 4096
+
+
+def _sums_before(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _bin, _base) of (keys, _bin, _t): sums over the bins before. Groups of bins are summed by themselves, then one row per group."""
+    group = F.floor(F.col("_bin") / GROUP).cast("long")
+    inside = Window.partitionBy(*keys, "_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    bins = totals.withColumn("_group", group)
+    carry = bins.groupBy(*keys, "_group").agg(F.sum("_t").alias("_t"))
+    carry = carry.select(*keys, "_group", F.coalesce(F.sum("_t").over(along), F.lit(0)).alias("_carry"))
+    bins = bins.select(*keys, "_bin", "_group", F.coalesce(F.sum("_t").over(inside), F.lit(0)).alias("_in"))
+    return bins.join(carry, [*keys, "_group"]).select(*keys, "_bin", (F.col("_in") + F.col("_carry")).alias("_base"))
+
+
 def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, width: int, name: str, order: list[str] | None = None) -> DataFrame:
     """Adds `name` (long): the sum of value over the rows before, within keys (none: the whole table), by pos and the order columns."""
     order = [pos, *(order or [])]
     binned = df.withColumn("_bin", bin_of(pos, width)).withColumn("_v", value.cast("long"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy(*keys, "_bin").agg(F.sum("_v").alias("_t"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    base = _sums_before(totals, keys)
     out = binned.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     out = out.join(base, [*keys, "_bin"])
     return out.withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_bin", "_v", "_in", "_base")

@@ -2,9 +2,11 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from layerframe.functions import checksums
 from layerframe.operators import layers, service, tree
+from layerframe.plans.ordered import running_sum
 from layerframe.sources import block_file, qcow2
 
 
@@ -104,3 +106,21 @@ def test_attributes_and_directories(spark):
     assert got == {"/f": (0o644, {"user.a": "1", "trusted.b": "2"}), "/l": (None, {"trusted.b": "2"}), "/d": (0o755, {}), "/d/e/g": (0o600, {})}
     folders = sorted(map(tuple, tree.read_directories(e).collect()))
     assert folders == [("/", "d", "5"), ("/", "f", "0"), ("/", "l", "2"), ("/d", "e", "5"), ("/d/e", "g", "0")]
+
+
+def test_links_in_chains_and_rings(spark):
+    links = [(f"/c{i}", f"c{i + 1}") for i in range(30)] + [("/ring", "/ring2"), ("/ring2", "ring"), ("/deep/x", "../c25/y")]
+    paths = ["/c0/z", "/ring", "/deep/x/w", "/none", "/c5/../c29", "/"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = tree.resolve(df, spark.createDataFrame(links, "path string, linkname string")).collect()
+    assert {r["path"]: r["resolved"] for r in got} == {"/c0/z": "/c30/z", "/ring": None, "/deep/x/w": "/c30/y/w", "/none": "/none", "/c5/../c29": "/c30", "/": "/"}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_sums_over_groups_of_bins(spark, keys):
+    """Positions far apart: many groups of bins, most with few bins; negative positions too."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(3), p, rng.randrange(-5, 9)) for p in rng.sample(range(-300_000, 900_000), 600)]
+    got = running_sum(spark.createDataFrame(rows, "k long, p long, v long"), keys, "p", F.col("v"), 16, "s").collect()
+    want = {(k, p): sum(w for j, q, w in rows if q < p and (not keys or j == k)) for k, p, _ in rows}
+    assert {(r["k"], r["p"]): r["s"] for r in got} == want
