@@ -13,7 +13,7 @@ from layerframe.sources import block_file, layer_files, qcow2
 
 from . import fixtures as fx
 from .more_queries import REPLACED, entries
-from .queries import FLAT, ORACLES, flat, query
+from .queries import FLAT, HITS, ORACLES, flat, query
 
 
 @query(f"{FLAT} SELECT * FROM flat")
@@ -22,9 +22,7 @@ def freeze_index(spark, sf):
     return layers.freeze(flat(spark, sf), layer_files.shared_folder(spark, "frozen"))
 
 
-@query(f"""{ORACLES['overlay_two_level'].removesuffix(' SELECT * FROM flat')}, {fx.READS}
-SELECT f.dev, req_id, greatest(f.lo, r.lo) AS lo, least(f.hi, r.hi) AS hi, moff + CASE WHEN zeroed THEN 0 ELSE greatest(f.lo, r.lo) - f.lo END AS moff, zeroed, layer, write_seq
-FROM flat f JOIN reads r ON f.dev = r.dev AND f.lo < r.hi AND f.hi > r.lo""")
+@query(f"""{ORACLES['overlay_two_level'].removesuffix(' SELECT * FROM flat')}, {fx.READS}, {HITS} SELECT * FROM hits""")
 def combo_lookup(spark, sf):
     """Ranges looked up in the writable layers first, in the layers below where those have nothing."""
     s = fx.segments(spark, sf)
@@ -32,6 +30,12 @@ def combo_lookup(spark, sf):
     return overlay.lookup(both, fx.reads(spark, sf))
 
 
+@query(f"{ORACLES['overlay_lww_insert'].removesuffix(' SELECT * FROM flat')}, {fx.READS}, {HITS} SELECT * FROM hits")
+def writable_lookup(spark, sf):
+    """Ranges looked up in the mappings after all writes, the last writer winning."""
+    return overlay.lookup(overlay.insert_all(fx.segments(spark, sf)), fx.reads(spark, sf))
+
+
 LOWER = """lower_layers AS (SELECT s_nationkey AS dev, row_number() OVER w AS layer, md5(s_suppkey::VARCHAR) AS uuid, (s_suppkey % 4) * 1024 AS virtual_size,
 md5((CASE WHEN s_suppkey % 13 = 0 THEN 0 ELSE lag(s_suppkey) OVER w END)::VARCHAR) AS parent_uuid FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey))"""
 
