@@ -1,14 +1,21 @@
-"""Deletes later copies of repeated runs of lines, by a suffix array over line ids, in native expressions.
+"""Deletes later copies of repeated runs of lines, by a suffix array over line ids with its LCP array, in native expressions.
 
-Lines become ids, and suffixes of the id sequences are ranked by prefix doubling: the rank of a suffix by its first 2k ids is the
-rank of the pair (rank by k here, rank by k at k lines further). Ranks are places in the suffix array: the
-number of suffixes that sort before. Suffixes with one rank form an LCP interval of at least that depth. Suffixes that no other
-shares drop out as soon as that shows, so rounds work on repeated text alone.
+Lines become ids: the lines with a word that occur twice or more are ranked. A line that no other equals is in no repeated run, so it ends
+a string as the end of the text does. A run counts from MIN_WORDS words on: at each place the shortest run that reaches them is
+looked up, m lines.
 
-A run counts from MIN_WORDS words on. At each place the shortest run that reaches MIN_WORDS is looked up: its interval is the
-pair of ranks that covers its lines. Where an interval has an earlier member (by document id, text hash and line), the run is
-a later copy. Overlapping runs merge to the maximal repeated runs, which are deleted. No run needs
-more than MIN_WORDS lines to reach MIN_WORDS words, so log2(MIN_WORDS) rounds decide about runs of any length.
+1. suffix_array: suffixes are ranked by prefix doubling. The rank of a suffix by its first 2k ids is the rank of the pair
+   (rank by k here, rank by k at k lines further), a string that has ended being the smallest. A rank is a place in the suffix array: the number of
+   suffixes of the texts still in work that sort before. A place whose first 2k of m lines no other shares is no candidate any more, and a
+   text without candidates drops out, so rounds work on repeated text alone. Doubling ends when the order holds to m lines everywhere: a run of MIN_WORDS
+   words has at most MIN_WORDS lines, so log2(MIN_WORDS) rounds decide about texts of any length.
+2. lcp_array: the lines that a suffix shares from its start with the one before it in the suffix array, counted on the ids of both.
+   Counts end at m lines, as nothing longer is asked for. Suffixes of equal rank are one entry.
+3. lcp_intervals: an entry with an LCP of m or more lies in the interval of the entry before it, any other opens one. The members of an interval are
+   all places of one run of m lines.
+
+Where an interval has an earlier member (by document id, text hash and line), the run is a later copy and is deleted. A longer repeated run goes
+as the runs inside it. Lines at its end that none of these needs to reach MIN_WORDS stay, as in the SQL below.
 
 Defined results: lines without a word belong to no run (inside a deleted run they go with it); a null text stays null; a
 document whose lines all go keeps its row with an empty text; rows with equal id and equal text are one document and both keep
@@ -17,7 +24,7 @@ what it keeps; a null id is an id like others, first in order; an empty table gi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, global_rank, let, split_words
@@ -66,8 +73,8 @@ def _ahead(arr: Column, j: Column, k: Column, q: Column, field: str) -> Column:
     return F.when(y["q"] == q + k, y[field])
 
 
-def repeated_runs(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """KEY, lo, hi (raw lines, both included) of each shortest run that is a later copy."""
+def suffix_array(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """KEY, q, lo, hi (raw lines, both included), m, ids (the line ids from lo to hi) and r, the rank in the suffix array, of each shortest run that may have copies."""
     occ = scratch.save(occurrences(docs))
     ids = occ.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     ids = scratch.save(global_rank(scratch, ids, ["h1", "h2"], "n", "r").select("h1", "h2", "r"))
@@ -76,43 +83,71 @@ def repeated_runs(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS)
         occ.join(ids, ["h1", "h2"]).groupBy(*KEY)
         .agg(F.sort_array(F.collect_set(F.struct("q", "raw", "wc", "r"))).alias("a"))
         .select(*KEY, let(F.col("a"), lambda a: _shortest(a, min_words)).alias("a"))
+        .select(*KEY, F.transform("a", lambda x: F.struct(x["q"].alias("q"), x["raw"].alias("raw"), x["m"].alias("m"), x["r"].alias("id"), x["r"].alias("r"))).alias("a"))
     )
     state = scratch.save(arrays.where(F.exists("a", lambda x: x["m"] > 0)))
     scratch.drop(occ, ids)
-    runs, k = [], 1
-    while True:
-        # runs of k to 2k - 1 lines are covered by the two ranks of depth k at their ends
-        place = let(F.col("a"), lambda a: F.filter(F.transform(a, lambda x, j: F.struct(  # noqa: B023
-            x["q"].alias("q"), x["raw"].alias("lo"), x["m"].alias("m"), x["r"].alias("ra"),
-            _ahead(a, j, x["m"] - k, x["q"], "r").alias("rb"), _ahead(a, j, x["m"] - 1, x["q"], "raw").alias("hi"),  # noqa: B023
-        )), lambda s: (s["m"] >= k) & (s["m"] < 2 * k) & s["ra"].isNotNull() & s["rb"].isNotNull()))  # noqa: B023
-        runs.append(scratch.save(state.select(*KEY, F.explode(place).alias("s")).select(*KEY, "s.*")))
-        state_next = state.where(F.exists("a", lambda x: (x["m"] >= 2 * k) & x["r"].isNotNull()))  # noqa: B023
-        if state_next.isEmpty():
-            break
+    k = 1
+    while k < (state.agg(F.max(F.array_max(F.transform("a", lambda x: x["m"])))).first()[0] or 0):
         pairs = let(F.col("a"), lambda a: F.transform(a, lambda x, j: F.struct(  # noqa: B023
-            x["q"].alias("q"), x["raw"].alias("raw"), x["m"].alias("m"), x["r"].alias("r"), _ahead(a, j, F.lit(k), x["q"], "r").alias("r2"))))  # noqa: B023
-        flat = scratch.save(state_next.select(*KEY, F.explode(pairs).alias("s")).select(*KEY, "s.*"))
-        named = flat.where("r IS NOT NULL AND r2 IS NOT NULL").groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
-        named = scratch.save(global_rank(scratch, named, ["r", "r2"], "n", "nr").select("r", "r2", "nr"))
-        after = flat.join(named, ["r", "r2"], "left").groupBy(*KEY).agg(
-            F.sort_array(F.collect_list(F.struct("q", "raw", F.col("nr").alias("r"), "m"))).alias("a"))
-        old, state = state, scratch.save(after)
-        scratch.drop(old, flat, named)
+            x["q"].alias("q"), x["raw"].alias("raw"), x["m"].alias("m"), x["id"].alias("id"), x["r"].alias("r"),
+            F.coalesce(_ahead(a, j, F.lit(k), x["q"], "r"), F.lit(-1)).alias("r2"))))  # noqa: B023
+        flat = scratch.save(state.select(*KEY, F.explode(pairs).alias("s")).select(*KEY, "s.*"))
+        named = flat.groupBy("r", "r2").agg(F.count("*").alias("n"))
+        named = scratch.save(global_rank(scratch, named, ["r", "r2"], "n", "nr").select("r", "r2", "nr", "n"))
         k *= 2
+        still = F.when((F.col("m") >= k) & (F.col("n") == 1), 0).otherwise(F.col("m")).alias("m")
+        after = flat.join(named, ["r", "r2"]).groupBy(*KEY).agg(
+            F.sort_array(F.collect_list(F.struct("q", "raw", still, "id", F.col("nr").alias("r")))).alias("a"))
+        old, state = state, scratch.save(after.where(F.exists("a", lambda x: x["m"] > 0)))
+        scratch.drop(old, flat, named)
+    place = let(F.col("a"), lambda a: F.filter(F.transform(a, lambda x, j: F.struct(
+        x["q"].alias("q"), x["raw"].alias("lo"), _ahead(a, j, x["m"] - 1, x["q"], "raw").alias("hi"), x["m"].alias("m"),
+        F.transform(F.slice(a, j + 1, x["m"]), lambda y: y["id"]).alias("ids"), x["r"].alias("r"),
+    )), lambda s: s["m"] > 0))
+    out = scratch.save(state.select(*KEY, F.explode(place).alias("s")).select(*KEY, "s.*"))
     scratch.drop(state)
-    found = []
-    for run in runs:
-        interval = ["m", "ra", "rb"]
-        me = F.struct(*KEY, "q")
-        first = run.groupBy(*interval).agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n").hint("rebalance")
-        found.append(run.join(first, interval).where(~F.col("first").eqNullSafe(me)).select(*KEY, "lo", "hi"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
     return out
 
 
+def _common(x: Column, y: Column) -> Column:
+    """Equal values at the start of two arrays; 0 where one is null."""
+    first = let(F.zip_with(x, y, lambda a, b: a.eqNullSafe(b)), lambda same: F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)))
+    return F.when(x.isNull() | y.isNull(), 0).otherwise(first).cast("int")
+
+
+def lcp_array(scratch: Scratch, places: DataFrame) -> DataFrame:
+    """r, m, n (suffixes of this rank), first (the earliest of them) and lcp: lines in common with the entry before it, 0 for the first."""
+    entries = places.groupBy("r").agg(
+        F.max("m").alias("m"), F.count("*").alias("n"), F.min(F.struct(*KEY, "q")).alias("first"), F.any_value("ids").alias("ids"))
+    dealt = scratch.save(entries.repartitionByRange("r").withColumn("_pid", F.spark_partition_id()))
+    # the entry before a range's first is the last of the range before: one row per range
+    ends = dealt.groupBy("_pid").agg(F.max_by("ids", "r").alias("_end"))
+    ends = ends.select("_pid", F.lag("_end").over(Window.orderBy("_pid")).alias("_end"))
+    prev = F.coalesce(F.lag("ids").over(Window.partitionBy("_pid").orderBy("r")), F.col("_end"))
+    out = dealt.join(F.broadcast(ends), "_pid").withColumn("_prev", prev)
+    out = scratch.save(out.select("r", "m", "n", "first", _common(F.col("ids"), F.col("_prev")).alias("lcp")))
+    scratch.drop(dealt)
+    return out
+
+
+def lcp_intervals(scratch: Scratch, lcp: DataFrame) -> DataFrame:
+    """r and first, the earliest member of its interval, for intervals of two or more members."""
+    opens = lcp.withColumn("opens", (F.col("lcp") < F.col("m")).cast("int"))
+    entries = scratch.save(global_rank(scratch, opens, ["r"], "opens", "before").select("r", "n", "first", (F.col("before") + F.col("opens")).alias("interval")))
+    whole = entries.groupBy("interval").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n").hint("rebalance")
+    return entries.select("r", "interval").join(whole, "interval").select("r", "first")
+
+
+def repeated_runs(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """KEY, lo, hi (raw lines, both included) of each shortest run that is a later copy."""
+    places = suffix_array(scratch, docs, min_words)
+    lcp = lcp_array(scratch, places)
+    firsts = lcp_intervals(scratch, lcp).hint("rebalance")
+    scratch.drop(lcp)
+    return places.drop("m", "ids").join(firsts, "r").where(~F.col("first").eqNullSafe(F.struct(*KEY, "q"))).select(*KEY, "lo", "hi")
+
+
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with text without later copies, n_lines and n_deleted (long). Columns named as a result are replaced; names that start with _ld_ are reserved."""
     scratch = Scratch(df.sparkSession, "line-dedup")

@@ -271,6 +271,58 @@ def test_line_dedup(spark, docs, least):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_suffix_array(spark):
+    rng = random.Random(18)
+    pool = [prose(rng, n) for n in (1, 1, 2, 3, 5)]
+    # runs that part at their end, inside a doubling step, and texts that go on behind a common run
+    run = [rng.choice(pool) for _ in range(12)]
+    rows = [(i, "\n".join([*run[: rng.randrange(5, 13)], *rng.choices([*pool, f"only {i}"], k=rng.randrange(6))])) for i in range(30)]
+    rows += [(100 + i, "\n".join(rng.choices([*pool, "", f"only {i}"], k=rng.randrange(25)))) for i in range(30)]
+    least = 13
+    # the strings: lines with a word that occur again; any other line ends one
+    texts = {i: [x for x in t.split("\n") if words_of(x)] for i, t in rows}
+    count = collections.Counter(x for lines in texts.values() for x in lines)
+    need, heads = {}, collections.defaultdict(list)
+    for i, lines in texts.items():
+        for q in range(len(lines)):
+            end = next((b for b in range(q + 1, len(lines) + 1) if sum(len(words_of(x)) for x in lines[q:b]) >= least), None)
+            if end and all(count[x] > 1 for x in lines[q:end]):
+                need[i, q] = end - q
+                heads[tuple(lines[q:end])].append((i, q))
+    scratch = Scratch(spark, "test")
+    docs = spark.createDataFrame(rows, "_ld_id long, _ld_text string").withColumn("_ld_th", F.xxhash64("_ld_text")).repartition(3)
+    places = line_dedup.suffix_array(scratch, docs, least)
+    got = sorted(places.collect(), key=lambda p: p["r"])
+    at = {(p["_ld_id"], p["q"]): p for p in got}
+    assert len(at) == len(got) and all(need[k] == p["m"] == len(p["ids"]) for k, p in at.items())
+    assert all(k in at for ks in heads.values() if len(ks) > 1 for k in ks)
+    assert len({p["m"] for p in got}) > 3 and any(p["m"] > 4 and p["m"] not in (8, 16) for p in got)
+    # one id to a line, and the array in the order of ids
+    line = {}
+    for (i, q), p in at.items():
+        for x, y in zip(texts[i][q:], p["ids"]):
+            assert line.setdefault(y, x) == x
+    assert len(set(line.values())) == len(line)
+    assert [p["ids"] for p in got] == sorted(p["ids"] for p in got)
+    # LCP of neighbours, spelled out
+    entries = sorted({p["r"]: p for p in got}.items())
+    lcp = line_dedup.lcp_array(scratch, places)
+    want = [0]
+    for (_, x), (_, y) in zip(entries, entries[1:]):
+        want.append(next((n for n, (u, v) in enumerate(zip(x["ids"], y["ids"])) if u != v), min(x["m"], y["m"])))
+    found = sorted(lcp.collect(), key=lambda e: e["r"])
+    assert [e["r"] for e in found] == [r for r, _ in entries] and [e["lcp"] for e in found] == want
+    assert any(0 < e["lcp"] < e["m"] for e in found) and any(e["lcp"] >= e["m"] for e in found)
+    # intervals hold all places of a run, also where their suffixes differ behind it
+    first = {e["r"]: (e["first"]["_ld_id"], e["first"]["q"]) for e in line_dedup.lcp_intervals(scratch, lcp).collect()}
+    groups = collections.defaultdict(set)
+    for k, p in at.items():
+        if p["r"] in first:
+            groups[first[p["r"]]].add(k)
+    by_id = lambda k: (k[0], at[k]["_ld_th"], k[1])
+    assert groups == {min(ks, key=by_id): set(ks) for ks in heads.values() if len(ks) > 1}
+
+
 def grams(text):
     w = words_of(text)
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
