@@ -47,13 +47,17 @@ HEAVY, BLOCK, WINDOW = 512, 16, 256
 MOST_POSTINGS, MOST_DOCS = 4_000_000, 32_768
 #: Most queries, about, of a file, and terms of their texts.
 QUERIES_PER_FILE, TERMS_PER_FILE = 2048, 2_000_000
-#: Queries of a batch, and light postings that a batch may meet in a shard.
-BATCH, BATCH_POSTINGS = 64, 2_000_000
+#: Queries of a batch; a batch holds 12 bytes for each of its queries and documents of a shard.
+BATCH = 128
+#: Light postings that are added up at once, of one query or several.
+AT_ONCE = 1 << 15
 #: Most shards, about, of a unit of work, and units that are tasks of their own.
 SHARDS, TASKS = 2048, 100_000
 EVERY = 50
 #: Of a heavy part: above the error of a 32-bit sum of HEAVY products, HEAVY * 2**-24 in the worst order.
 ERROR = 4e-5
+#: Above 0, and of 32 bits.
+TINY = 1e-30
 
 
 def _put(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -243,9 +247,15 @@ class ShardIndex:
         self.impact = self._impact(z["tf"].astype(np.float64), self.norm[self.docs])
         self.htf = np.zeros((self.n, len(self.heavy)), z["htf"].dtype)
         self.htf[z["hdocs"], z["hterm"]] = z["htf"]
-        self.himpact = np.zeros((self.blocks * BLOCK, len(self.heavy)), np.float32)
-        self.himpact[z["hdocs"], z["hterm"]] = self._impact(z["htf"].astype(np.float64), self.norm[z["hdocs"]])
-        self.hmax = self.himpact.reshape(self.blocks, BLOCK, len(self.heavy)).max(1) if self.n else self.himpact
+        himpact = np.zeros((self.blocks * BLOCK, len(self.heavy)), np.float32)
+        himpact[z["hdocs"], z["hterm"]] = self._impact(z["htf"].astype(np.float64), self.norm[z["hdocs"]])
+        self.hmax = himpact.reshape(self.blocks, BLOCK, len(self.heavy)).max(1) if self.n else himpact
+        self.windows = []  # (blocks, documents, heavy terms that occur, their impacts by document)
+        for b in range(0, self.blocks, max(1, WINDOW // BLOCK)):
+            of = slice(b, b + max(1, WINDOW // BLOCK))
+            docs = slice(b * BLOCK, min(self.n, of.stop * BLOCK))
+            cols = np.flatnonzero(self.hmax[of].any(0))
+            self.windows.append((of, docs, cols, np.ascontiguousarray(himpact[docs][:, cols])))
         self.scored = self.seen = 0  # documents whose heavy lists were read, and all, over the queries
 
     @staticmethod
@@ -253,19 +263,9 @@ class ShardIndex:
         return tf * (K1 + 1) / (tf + norm)
 
     def batches(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        """Runs of queries that meet a bounded number of light postings (a query alone meets no more than the shard has)."""
-        n = []
-        for terms, _ in queries:
-            _, at = _place(self.terms, terms)
-            n.append(int((self.ptr[at + 1] - self.ptr[at]).sum()))
-        lo = held = 0
-        for i, x in enumerate(n):
-            if i > lo and (i - lo >= BATCH or held + x > BATCH_POSTINGS):
-                yield lo, i
-                lo, held = i, 0
-            held += x
-        if lo < len(n):
-            yield lo, len(n)
+        """Runs of BATCH queries, whatever they meet: top() adds up a few queries' light postings at once."""
+        for lo in range(0, len(queries), BATCH):
+            yield lo, min(lo + BATCH, len(queries))
 
     def top(self, queries: list[tuple[np.ndarray, np.ndarray]], best: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, rounded scores) of documents that can be among the best k, for each query (terms, weights), at most k of them.
@@ -280,38 +280,59 @@ class ShardIndex:
         w = np.zeros((nq, len(self.heavy)))
         hit, at = _place(self.heavy, terms)
         w[of[hit], at] = weights[hit]
-        hit, at = _place(self.terms, terms)
-        lo, hi = self.ptr[at], self.ptr[at + 1]
-        p, n = _spread(lo, hi), hi - lo
-        light = np.bincount(np.repeat(of[hit] * width, n) + self.docs[p], self.impact[p] * np.repeat(weights[hit], n), nq * width).astype(np.float64, copy=False).reshape(nq, width)
+        own, which = np.unique(terms, return_inverse=True)  # in order, so that the search through the table goes forward
+        hit, at = _place(self.terms, own)
+        place = np.full(len(own), -1)
+        place[hit] = at
+        at = place[which]
+        hit = np.flatnonzero(at >= 0)
+        at = at[hit]
+        # bounds and heavy parts are 32-bit; a few queries at a time, so that their lists and sums stay in the cores' caches
+        light, light32, cut = np.zeros((nq, width)), np.zeros((nq, width), np.float32), np.searchsorted(of[hit], np.arange(nq + 1))
+        lo, n = self.ptr[at], self.ptr[at + 1] - self.ptr[at]
+        met = np.append(0, np.cumsum(n))[cut]
+        i = 0
+        while i < nq:
+            j = max(i + 1, int(np.searchsorted(met, met[i] + AT_ONCE, "right")) - 1)
+            x = slice(cut[i], cut[j])
+            p = _spread(lo[x], lo[x] + n[x])
+            place = self.docs[p] + np.repeat((of[hit[x]] - i) * width, n[x])
+            part = np.bincount(place, self.impact[p] * np.repeat(weights[hit[x]], n[x]), (j - i) * width).reshape(j - i, width)
+            light[i:j] = light32[i:j] = part
+            i = j
         w32 = w.astype(np.float32)
-        slack = ERROR * (K1 + 1) * w.sum(1) + 1e-5
-        bound = light.reshape(nq, self.blocks, BLOCK).max(2) + w32 @ self.hmax.T + slack[:, None]
+        slack = ERROR * (K1 + 1) * np.bincount(of, weights, nq) + 1e-5
+        bound = light32.reshape(nq, self.blocks, BLOCK)
+        while bound.shape[2] > 1:  # the largest of a block, by halves: whole rows at a time
+            half = bound.shape[2] // 2
+            odd = bound[:, :, 2 * half :]
+            bound = np.maximum(bound[:, :, :half], bound[:, :, half : 2 * half])
+            bound = np.concatenate([bound, odd], 2) if odd.shape[2] else bound
+        bound = bound[:, :, 0] + w32 @ self.hmax.T + slack[:, None].astype(np.float32)
         best = best.copy()
         floor = best.min(1)
+        # a score that is not below this can be among the best; one of 0 never is
+        least = np.maximum(floor - slack, TINY).astype(np.float32)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         times = np.minimum(np.diff(self.iptr), k)
-        step = WINDOW // BLOCK
-        for b in range(0, self.blocks, step):
-            live = bound[:, b : b + step] >= floor[:, None]
-            rows = np.flatnonzero(live.any(1))
+        for blocks, docs, cols, impacts in self.windows:
+            rows = np.flatnonzero((bound[:, blocks] >= floor[:, None]).any(1))
             if not len(rows):
                 continue
-            a, z = b * BLOCK, min(self.n, (b + step) * BLOCK)
-            score = light[rows, a:z] + w32[rows] @ self.himpact[a:z].T
+            score = light32[rows, docs] + w32[rows[:, None], cols] @ impacts.T
             self.scored += score.size
-            hit = (score + slack[rows, None] >= floor[rows, None]) & (score > 0)
-            r, c = np.nonzero(hit)
-            if not len(r):
+            hit = np.flatnonzero(score >= least[rows, None])
+            if not len(hit):
                 continue
-            s = score[r, c]
-            found.append((rows[r], c + a, s))
+            (r, c), s = np.divmod(hit, score.shape[1]), score.ravel()[hit].astype(np.float64)
+            found.append((rows[r], c + docs.start, s))
             at = _firsts(r)
             for i, j in zip(at.tolist(), np.append(at[1:], len(r)).tolist(), strict=True):
                 q = rows[r[i]]
-                new = np.concatenate([best[q], np.repeat(s[i:j] - slack[q], times[c[i:j] + a])])
+                new = np.concatenate([best[q], np.repeat(s[i:j] - slack[q], times[c[i:j] + docs.start])])
                 best[q] = np.partition(new, len(new) - k)[len(new) - k :]
                 floor[q] = best[q].min()
+                least[q] = max(floor[q] - slack[q], TINY)
         self.seen += nq * self.n
         out = [(np.empty(0, np.int64), np.empty(0))] * nq
         if not found:

@@ -536,6 +536,22 @@ def test_shards_are_pruned_exactly(heavy, block, window, monkeypatch):
     assert scored <= seen and (window != 4 or scored < 0.9 * seen)
 
 
+def test_search_windows_hold_their_own_terms(monkeypatch):
+    """A window of documents of one language multiplies with that language's heavy terms only, and batches are as large for long lists."""
+    monkeypatch.setattr(search, "WINDOW", 32)
+    rng = random.Random(5)
+    texts = [f"{'ab'[i % 2]}0 " * 30 + " ".join(f"{'ab'[i % 2]}{rng.randrange(20)}" for _ in range(40)) for i in range(256)]
+    arrays, terms, _ = search.shard_of(*search.term_counts(texts), np.arange(256))
+    index = search.ShardIndex(arrays, 70.0)
+    assert len(index.heavy) == 40 and sum(len(w[2]) == 20 for w in index.windows) >= 6
+    queries = [(terms[i % 40 : i % 40 + 1], np.ones(1)) for i in range(300)]
+    assert [b - a for a, b in index.batches(queries)] == [128, 128, 44]
+    whole = [index.top(queries[i : i + 1], np.zeros((1, 3)), 3)[0] for i in range(300)]
+    for a, b in index.batches(queries):
+        for i, (ids, scores) in enumerate(index.top(queries[a:b], np.zeros((b - a, 3)), 3), a):
+            assert ids.tolist() == whole[i][0].tolist() and scores.tolist() == whole[i][1].tolist()
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     letters = {"aa": "abcdé", "bb": "vwxyz", "cc": "mnopq"}
