@@ -36,25 +36,39 @@ def into_bins(df: DataFrame, lo: str = "lo", hi: str = "hi", width: int = BIN) -
 def flatten(segments: DataFrame, priority: list[str] = BY_LAYER, keys: tuple[str, ...] = ("dev",), width: int = BIN) -> DataFrame:
     """What is seen from above: for each place the segment that is greatest by the priority columns.
 
-    Segments are cut at bins; inside a bin the ends of its segments make atoms, of which there are at most `width`, and each
-    atom takes the maximum of the segments over it, summed before the shuffle. Neighbouring atoms of one write are joined again, so a
-    write that nothing splits comes out whole; different writes are never joined.
+    Segments are cut at bins of at most 64 sectors, so that a piece is a mask of bits. In a bin, from the top down, a piece is seen where no mask
+    before it has a bit: one running OR, which holds one row at a time. The runs of ones that are left are joined again over bins, so a
+    write that nothing splits comes out whole; different writes are never joined. Rows without a key are left out.
     """
-    keys = list(keys)
-    cut = into_bins(segments, width=width).withColumn("s", F.struct(*priority)).select(
-        *keys, "bin", "s", F.greatest("lo", F.col("bin") * width).alias("a"), F.least("hi", (F.col("bin") + 1) * width).alias("b"))
-    ends = cut.groupBy(*keys, "bin").agg(F.collect_set("a").alias("x"), F.collect_set("b").alias("y"))
-    points = ends.select(*keys, "bin", F.array_sort(F.array_union("x", "y")).alias("p"))
-    atoms = points.select(*keys, "bin", F.explode(F.filter(F.transform("p", lambda v, i: F.struct(v.alias("a0"), F.get(F.col("p"), i + 1).alias("b0"))), lambda s: s["b0"].isNotNull())).alias("at")).select(*keys, "bin", "at.*")
-    over = cut.join(atoms, [*keys, "bin"]).where("a <= a0 AND b0 <= b")
-    won = over.groupBy(*keys, "a0", "b0").agg(F.max("s").alias("s")).select(*keys, "a0", "b0", "s.*")
-    # pieces of one write: neighbours join; a write has at most MAX_LENGTH pieces, so its window is bounded
-    write = [*keys, *SOURCE]
-    along = Window.partitionBy(*write).orderBy("a0")
-    parts = won.withColumn("_new", F.when(F.lag("b0").over(along) == F.col("a0"), 0).otherwise(1))
-    parts = parts.withColumn("island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    whole = parts.groupBy(*write, "island").agg(F.min("a0").alias("_a"), F.max("b0").alias("_b"))
-    return whole.select(*keys, F.col("_a").alias("lo"), F.col("_b").alias("hi"), trimmed(F.col("moff"), F.col("_a") - F.col("lo"), F.col("zeroed")).alias("moff"), "zeroed", "layer", "write_seq")
+    if not 1 <= width <= 64:
+        raise ValueError("a bin has 1 to 64 sectors")
+    keys, c, none = list(keys), F.col, F.lit(0).cast("long")
+    cut = into_bins(segments.dropna(subset=keys), width=width)
+    off = F.greatest(c("lo") - c("bin") * width, none)
+    size = F.least(c("hi") - c("bin") * width, F.lit(width)) - off
+    cut = cut.withColumns({"_off": off.cast("int"), "_size": size.cast("int")})
+    cut = cut.select(*keys, "bin", *dict.fromkeys([*priority, *SOURCE]), F.expr("shiftleft(shiftrightunsigned(-1L, 64 - _size), _off)").alias("_mask"))
+    above = Window.partitionBy(*keys, "bin").orderBy(*[c(p).desc() for p in priority]).rowsBetween(Window.unboundedPreceding, -1)
+    seen = cut.withColumn("_seen", c("_mask").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("_mask").over(above), none)))).where("_seen <> 0")
+    seen = seen.withColumn("_starts", F.expr("_seen & ~shiftleft(_seen, 1)"))
+    only = "CASE WHEN _starts < 0 THEN 63 ELSE bit_count(_starts - 1) END"  # the place of a single bit
+    places = lambda bits: f"filter(sequence(0, 63), i -> (shiftrightunsigned({bits}, i) & 1) = 1)"
+    ones = F.expr(f"""CASE WHEN bit_count(_starts) = 1 THEN array(named_struct('a', {only}, 'b', {only} + bit_count(_seen)))
+        ELSE zip_with({places('_starts')}, {places('(_seen & ~shiftrightunsigned(_seen, 1))')}, (x, y) -> named_struct('a', x, 'b', y + 1)) END""")
+    at = c("bin") * width
+    runs = seen.select(*keys, *SOURCE, "bin", F.explode(ones).alias("_r")).select(*keys, *SOURCE, "bin", (at + c("_r.a")).alias("_a"), (at + c("_r.b")).alias("_b"))
+    # A write in two bins has at most one run on each side of their border, and those join. In a longer write, which is a window of its own, a run
+    # joins the one before that ends where it starts. Short writes share windows, and are not changed there.
+    first, last = F.floor(c("lo") / width), F.floor((c("hi") - 1) / width)
+    cut_off = ((c("_a") == at) & (c("lo") < c("_a"))) | ((c("_b") == at + width) & (c("hi") > c("_b")))
+    runs = runs.withColumns({"_long": last - first > 1, "_short": F.when(cut_off, F.lit(-1).cast("long")).otherwise(c("_a") - c("lo"))})
+    runs = runs.withColumn("_home", F.when(c("_long"), F.xxhash64(*SOURCE)).otherwise(first.cast("long"))).drop("bin")
+    along = Window.partitionBy(*keys, "_long", "_home").orderBy(*SOURCE, "_a")
+    touches = F.lag(F.struct(*SOURCE, c("_b").alias("_x"))).over(along).eqNullSafe(F.struct(*SOURCE, c("_a").alias("_x")))
+    runs = runs.withColumn("_new", F.when(touches, 0).otherwise(1))
+    island = F.when(c("_long"), F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).otherwise(c("_short"))
+    whole = runs.withColumn("_island", island).groupBy(*keys, "_long", "_home", *SOURCE, "_island").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    return whole.select(*keys, c("_a").alias("lo"), c("_b").alias("hi"), trimmed(c("moff"), c("_a") - c("lo"), c("zeroed")).alias("moff"), "zeroed", "layer", "write_seq")
 
 
 def insert_all(writes: DataFrame, **how) -> DataFrame:

@@ -135,3 +135,27 @@ def test_points(spark, most):
     got = sorted((r["dev"], r["sector"], r["moff"]) for r in points.lookup_points(idx, probes, most).collect())
     assert got == [(1, 5, 100), (1, 9, 104), (1, 10, 50), (1, 19, 50), (3, 0, 7), (3, 199, 206)]
     assert points.lookup_points(idx.limit(0), probes, most).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 7, 64])
+def test_flatten_masks(spark, width):
+    """Writes over many bins, bits 0 and 63, equal rows and null keys against a painted array; pieces are shuffled once and never joined."""
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(2), rnd.randrange(4), i, lo, lo + rnd.choice([1, 2, 30, 63, 64, 65, 200, 500]), 1000 * i, rnd.random() < 0.2) for i, lo in enumerate(rnd.choice([0, 63, 64, 127, rnd.randrange(900)]) for _ in range(90))]
+    rows += rows[:5] + [(None, 1, 999, 0, 10, 0, False), (1, 1, 998, 10, 10, 0, False)]
+    painted = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1], r[2])):
+        painted.update({(r[0], x): r for x in range(r[3], r[4])})
+    want = []
+    for d, x in sorted(painted):
+        r = painted[d, x]
+        if want and want[-1][0] == (d, *r) and want[-1][2] == x:
+            want[-1][2] = x + 1
+        else:
+            want.append([(d, *r), x, x + 1])
+    flat = overlay.flatten(table(spark, rows), width=width)
+    assert sorted(tuple(r) for r in flat.collect()) == sorted((w[0], a, b, w[6] + (0 if w[7] else a - w[4]), w[7], w[2], w[3]) for w, a, b in want)
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == (2 if "Initial Plan" not in plan else 4)
+    with pytest.raises(ValueError, match="64 sectors"):
+        overlay.flatten(table(spark, rows), width=65)
