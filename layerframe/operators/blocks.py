@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from layerframe.functions import codecs
+from layerframe.functions import checksums, codecs
 from layerframe.plans.ordered import floor_join, running_sum, with_previous
 
 HEADER = 512
@@ -26,27 +29,29 @@ def split_blocks(files: DataFrame, data: str = "data", block_size: int = 4096) -
 
 def compress(blocks: DataFrame, algo: str = "lz4", verify: bool = True) -> DataFrame:
     """Adds raw_len, comp_len (with the sum, where there is one) and crc; data become compressed bytes."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield codecs.compress_frame(pdf, algo, verify)
-
-    return blocks.mapInPandas(run, "file_id long, block_id long, raw_len int, comp_len int, crc long, data binary")
+    kind = StructType.fromDDL("file_id long, block_id long, raw_len int, comp_len int, crc long, data binary")
+    return blocks.mapInArrow(codecs.by_parts(lambda pdf: codecs.compress_frame(pdf, algo, verify), kind), kind)
 
 
 def decompress(blocks: DataFrame, algo: str = "lz4", verify: bool = True) -> DataFrame:
     """Raw blocks; a block whose sum is wrong has ok = false and no data."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield codecs.decompress_frame(pdf, algo, verify)
-
-    return blocks.mapInPandas(run, "file_id long, block_id long, ok boolean, data binary")
+    kind = StructType.fromDDL("file_id long, block_id long, ok boolean, data binary")
+    return blocks.mapInArrow(codecs.by_parts(lambda pdf: codecs.decompress_frame(pdf, algo, verify), kind, room=4096), kind)
 
 
 def validate(blocks: DataFrame) -> DataFrame:
     """Blocks whose stored sum differs from that of their bytes. A block without a sum is an error too."""
-    from layerframe.functions.checksums import crc32c_salted
+    kind = StructType([*blocks.schema.fields, StructField("actual", LongType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in codecs.parts(batch):
+                data = part.column("data").to_pylist()
+                found = pa.array(checksums.extend_many([b or b"" for b in data], checksums.SALT).astype("int64"), mask=np.array([b is None for b in data], bool))
+                wrong = pc.fill_null(pc.not_equal(part.column("crc"), found), False)
+                yield part.append_column("actual", found).filter(pc.or_(pc.is_null(part.column("crc")), wrong))
 
-    return blocks.withColumn("actual", crc32c_salted()("data")).where("crc IS NULL OR crc <> actual")
+    return blocks.mapInArrow(sums, kind)
 
 
 def join_blocks(blocks: DataFrame) -> DataFrame:

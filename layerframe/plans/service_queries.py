@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from layerframe.functions import codecs
 from layerframe.functions import scalars as sc
 from layerframe.operators import blocks, layers, overlay, service, tree
 from layerframe.sources import block_file, layer_files, qcow2
@@ -105,20 +105,19 @@ def block_validation(spark, sf):
     return blocks.validate(damaged).select("file_id", "block_id", F.when(F.col("crc").isNull(), "none").otherwise("differs").alias("stored"))
 
 
-def _packed(pack):
-    """A function for mapInPandas that packs each file."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"file_id": pdf["file_id"], "data": [None if b is None else pack(bytes(b)) for b in pdf["data"]]})
+FILES = StructType([StructField("file_id", LongType()), StructField("data", BinaryType())])
 
-    return run
+
+def _packed(pack):
+    """A function for mapInArrow that packs each file."""
+    return codecs.by_parts(lambda pdf: pd.DataFrame({"file_id": pdf["file_id"], "data": [None if b is None else pack(bytes(b)) for b in pdf["data"]]}), FILES)
 
 
 @query("SELECT doc_id AS file_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN -1 ELSE 0 END::INT AS status FROM documents")
 def block_file_status(spark, sf):
     """Block files told from damaged ones (a byte of the header differs) and from others (a byte of the magic differs)."""
     d = fx.table(spark, sf, "documents").selectExpr("doc_id AS file_id", "cast(text AS binary) AS data")
-    files = d.mapInPandas(_packed(block_file.compress), "file_id long, data binary")
+    files = d.mapInArrow(_packed(block_file.compress), FILES)
     at = F.when(F.col("file_id") % 3 == 1, 61).otherwise(2)  # a byte of the field for the data's size, or of the magic
     changed = F.concat(F.substring("data", F.lit(1), at - 1), F.unhex(F.lit("5A")), F.substring("data", at + 1, F.length("data")))
     return block_file.statuses(files.withColumn("data", F.when(F.col("file_id") % 3 == 0, F.col("data")).otherwise(changed)))
@@ -129,7 +128,7 @@ CASE WHEN text IS NULL THEN 1 ELSE (n + 511) // 512 END AS n_clusters FROM (SELE
 def disk_image_read(spark, sf):
     """Texts as disk images with plain, deflated and absent clusters: their cluster maps, and what a guest reads."""
     d = fx.table(spark, sf, "documents").selectExpr("doc_id AS file_id", "cast(text AS binary) AS data")
-    images = d.mapInPandas(_packed(qcow2.pack), "file_id long, data binary")
+    images = d.mapInArrow(_packed(qcow2.pack), FILES)
     maps = qcow2.read_clusters(images).groupBy("file_id").agg(F.count("*").alias("n_clusters"))
     got = qcow2.read_images(images).select("file_id", "status", F.sha2("data", 256).alias("digest"))
     return got.join(maps, "file_id", "left").select(F.col("file_id").alias("doc_id"), "status", "digest", F.coalesce("n_clusters", F.lit(0).cast("long")).alias("n_clusters"))

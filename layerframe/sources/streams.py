@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from layerframe.functions import codecs
 
@@ -46,8 +47,6 @@ def inflate(files: DataFrame) -> DataFrame:
 
 def gzip_streams(files: DataFrame, level: int = 6, memory: int = 8) -> DataFrame:
     """(file_id, data) as gzip streams; the less memory, the shorter their deflate blocks. Null stays null."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"file_id": pdf["file_id"], "data": [None if b is None else codecs.gzip_stream(bytes(b), level, memory) for b in pdf["data"]]})
-
-    return files.select("file_id", "data").mapInPandas(run, "file_id long, data binary")
+    kind = StructType.fromDDL("file_id long, data binary")
+    made = lambda pdf: pd.DataFrame({"file_id": pdf["file_id"], "data": [None if b is None else codecs.gzip_stream(bytes(b), level, memory) for b in pdf["data"]]})
+    return files.select("file_id", "data").mapInArrow(codecs.by_parts(made, kind), kind)

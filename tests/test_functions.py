@@ -2,8 +2,11 @@ import io
 import random
 import tarfile
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from layerframe.functions import checksums, codecs
 from layerframe.functions import scalars as sc
@@ -216,3 +219,20 @@ def test_ttl(spark):
     rows = spark.sql("SELECT 'k' AS k, timestamp_seconds(s) AS ts FROM VALUES (0), (5), (29), (31), (40), (62) AS t(s)")
     got = [r["hit"] for r in trace.ttl_hits(rows, "k", "ts", 30).orderBy("ts").collect()]
     assert got == [False, True, True, False, True, False]
+
+
+def test_batches_are_taken_in_bounded_parts(spark, monkeypatch):
+    """However many rows an Arrow batch has, Python takes out PART bytes at once, or one row."""
+    data = [b"x" * 10, None, b"", b"y" * 25, b"z" * 3] * 20
+    batch = pa.RecordBatch.from_pydict({"file_id": list(range(100)), "data": pa.array(data, pa.binary())})
+    got = list(codecs.parts(batch, most=30))
+    assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    sizes = [sum(len(x or b"") for x in b.column("data").to_pylist()) for b in got]
+    assert max(sizes) <= 30 and len(got) > 20
+    assert all(b.num_rows for b in codecs.parts(batch, most=1))
+    assert not list(codecs.parts(batch.slice(0, 0)))
+    monkeypatch.setattr(codecs, "PART", 64)
+    kind = StructType.fromDDL("n int, file_id long")
+    seen = []
+    made = codecs.by_parts(lambda pdf: (seen.append(len(pdf)), pd.DataFrame({"n": [len(pdf)] * len(pdf), "file_id": pdf["file_id"]}))[1], kind)
+    assert [i for b in made(iter([batch])) for i in b.column("file_id").to_pylist()] == list(range(100)) and max(seen) < 20
