@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from layerframe.functions.scalars import align_down, align_up, basename
 from layerframe.plans.ordered import islands, running_sum
@@ -15,6 +18,8 @@ from .overlay import into_bins
 
 PAGE = 4096
 REFILL = 1 << 20
+#: Evictions that a task gathers into a batch.
+EVICTIONS = 10_000
 
 
 def merged_extents(extents: DataFrame, width: int = 1 << 22) -> DataFrame:
@@ -48,6 +53,10 @@ def evict_range(extents: DataFrame, holes: DataFrame) -> DataFrame:
     return j.select("file", F.explode(cut).alias("s")).select("file", "s.*")
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+
 def evict_lru(log: DataFrame, pool: list[str], watermark: int) -> DataFrame:
     """Evictions of least recently used files, pool by pool, over an access log (pool, seq, file, len, open_count, and disk_short if it has one).
 
@@ -56,39 +65,50 @@ def evict_lru(log: DataFrame, pool: list[str], watermark: int) -> DataFrame:
     as many bytes are freed as the larger of the two asks for, at most all. A closed file is removed. An open one is truncated, moves to the front and
     stays. A pool is simulated in order: that is what LRU means; pools are independent, and a step costs what it evicts.
     """
-    keys = ", ".join(f"{p} {log.schema[p].dataType.simpleString()}" for p in pool)
+    fields = [log.schema[p] for p in pool]
+    kind = StructType([*fields, *StructType.fromDDL("seq long, victim string, freed long, kept_open boolean").fields])
+    schema = to_arrow_schema(kind)
     if "disk_short" not in log.columns:
         log = log.withColumn("disk_short", F.lit(0).cast("long"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, out = None, 0, []
         size: OrderedDict[str, int] = OrderedDict()  # the longest unused first
         opened: dict[str, int] = {}
-        used, out = 0, []
-        for seq, file, now, count, short in pdf.sort_values(["seq", "file"])[["seq", "file", "len", "open_count", "disk_short"]].itertuples(index=False):
-            used += max(0, int(now) - size.get(file, 0))
-            size[file], opened[file] = int(now), int(count)
-            size.move_to_end(file)
-            left = min(max(used - watermark, int(short)), used)
-            empty = 0  # open files without bytes that were passed since the last one with some
-            while left > 0 and size and empty < len(size):
-                victim, held = next(iter(size.items()))
-                kept = opened[victim] > 0
-                if kept:
-                    size.move_to_end(victim)
-                    size[victim] = 0
-                else:
-                    del size[victim], opened[victim]
-                empty = empty + 1 if kept and not held else 0
-                if held:
-                    out.append((seq, victim, held, kept))
-                    used -= held
-                    left -= held
-        got = pd.DataFrame(out, columns=["seq", "victim", "freed", "kept_open"])
-        for p in pool:
-            got[p] = pdf[p].iloc[0]
-        return got[[*pool, "seq", "victim", "freed", "kept_open"]]
-
-    return log.groupBy(*pool).applyInPandas(run, f"{keys}, seq long, victim string, freed long, kept_open boolean")
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                here, (seq, file, now, count, short) = row[: len(pool)], row[len(pool) :]
+                if here != key:
+                    key, used = here, 0
+                    size.clear()
+                    opened.clear()
+                used += max(0, int(now) - size.get(file, 0))
+                size[file], opened[file] = int(now), int(count)
+                size.move_to_end(file)
+                left = min(max(used - watermark, int(short)), used)
+                empty = 0  # open files without bytes that were passed since the last one with some
+                while left > 0 and size and empty < len(size):
+                    victim, held = next(iter(size.items()))
+                    kept = opened[victim] > 0
+                    if kept:
+                        size.move_to_end(victim)
+                        size[victim] = 0
+                    else:
+                        del size[victim], opened[victim]
+                    empty = empty + 1 if kept and not held else 0
+                    if held:
+                        out.append((*here, seq, victim, held, kept))
+                        used -= held
+                        left -= held
+                        if len(out) >= EVICTIONS:
+                            yield _rows(out, schema)
+                            out = []
+        if out:
+            yield _rows(out, schema)
+
+    # in the order of accesses, batch by batch: no task holds a pool's log
+    rows = log.select(*pool, "seq", "file", "len", "open_count", "disk_short").repartition(*pool).sortWithinPartitions(*pool, "seq", "file")
+    return rows.mapInArrow(run, kind)
 
 
 def prefetch_steps(ranges: DataFrame, step: int = 32 << 20) -> DataFrame:

@@ -236,3 +236,21 @@ def test_batches_are_taken_in_bounded_parts(spark, monkeypatch):
     seen = []
     made = codecs.by_parts(lambda pdf: (seen.append(len(pdf)), pd.DataFrame({"n": [len(pdf)] * len(pdf), "file_id": pdf["file_id"]}))[1], kind)
     assert [i for b in made(iter([batch])) for i in b.column("file_id").to_pylist()] == list(range(100)) and max(seen) < 20
+
+
+def test_lru_goes_through_batches(spark):
+    """A pool is not gathered in one frame: its log comes batch by batch, and pools follow each other in a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        log = spark.range(400).selectExpr("cast(id % 3 AS int) AS pool", "id AS seq", "concat('f', id * 7 % 11) AS file", "10 + id % 5 AS len", "cast(id % 4 = 0 AS int) AS open_count")
+        small = cache.evict_lru(log, ["pool"], 60)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+        small = sorted(map(tuple, small.collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert small == sorted(map(tuple, cache.evict_lru(log, ["pool"], 60).collect())) and len(small) > 100
+        assert {r[0] for r in small} == {0, 1, 2}
+        for p in range(3):
+            assert [r[1:] for r in small if r[0] == p] == sorted(tuple(r)[1:] for r in cache.evict_lru(log.where(f"pool = {p}"), ["pool"], 60).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
